@@ -1,0 +1,82 @@
+"""Secret scans against Python's own expressions and a plain entropy."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from cadence.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base(text):
+    spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+TEXTS = [
+    None,
+    "",
+    "password=abc",
+    'é𝄞 Password = "abcdef1" and api_key:zzzzzz, APIKEY=\'q1w2e3r4',
+    "token: token=abcdefgh secret=secret=abcdef",
+    "AKIA" + "Z" * 15 + " AKIAAKIA" + "0" * 12 + "x",
+    "deadbeef" * 3 + " " + "deadbeef" * 2 + "g" + "0123456789abcdef" * 4,
+    "x" * 5000 + " passwd:" + "k" * 300,
+    "token = 'aB3dE6gH9jK2mN5pQ8sT1vW4' then Zx81kQpL0aMwN7eRtY5uIoP2sD",
+    "1b4e28ba-2fa1-11d2-883f-0016d3cca427 thequickbrownfoxjumpsoverthelazydog",
+]
+
+
+def test_base_spans_and_digest(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.report(rows).collect()}
+    assert len(got) == len(TEXTS)
+    for k, text in enumerate(TEXTS):
+        want = base(text or "")
+        written = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+        assert got[k]["base_sha256"] == hashlib.sha256(written.encode()).hexdigest(), text
+        kinds = Counter(x[3] for x in want)
+        assert [got[k][f"n_{x}"] for x in ("assign", "access", "hex")] == [kinds[x] for x in ("assign", "access", "hex")]
+        assert set(written.split(",")) - {""} <= set(got[k]["spans"].split(","))
+
+
+def plain_dense(text, window, bits):
+    hits = []
+    for i in range(len(text) - window + 1):
+        n = Counter(text[i : i + window])
+        if -sum(c / window * math.log2(c / window) for c in n.values()) >= bits - 1e-12:
+            hits.append(i)
+    return (hits[0], hits[-1] + window) if hits else (None, None)
+
+
+@pytest.mark.parametrize("which", secrets.CLASSES, ids=lambda c: c.kind)
+def test_windows_match_plain_entropy(spark, which):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(which.alphabet[: rng.randint(2, len(which.alphabet))], k=rng.randint(20, 60))) for _ in range(60)]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    for r in rows.select("text", secrets.dense_part(rows["text"], which).alias("d")).collect():
+        assert tuple(r["d"]) == plain_dense(r["text"], which.window, which.bits), r["text"]
+
+
+def test_entropy_adds_and_allow_list_suppresses(spark):
+    rows = spark.createDataFrame([(8, TEXTS[8]), (9, TEXTS[9])], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(rows).collect()}
+    assert "entropy_base64" in got[8] and got[9] == ""
+
+
+def test_redaction_keeps_columns(spark):
+    rows = spark.createDataFrame([(1, "a password=abcdef1 b", 3), (2, None, 4)], "doc_id long, text string, _kind int")
+    got = sorted(secrets.redacted(rows).collect())
+    assert [tuple(r) for r in got] == [(1, "a [secret] b", 3), (2, None, 4)]
+
+
+def test_empty_table(spark):
+    assert secrets.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
