@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat, decontamination, language, lines, search, secrets, toxicity
+from cadence.llm import chat, decontamination, language, lines, neardup, search, secrets, toxicity
 from cadence.llm._shared import table
 from cadence.llm.packing import pack
 
@@ -32,6 +32,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(spark, table(spark, sf_dir, "conversations"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_chat_format": op8_chat_format,
     "op9_top_k_search": op9_top_k_search,
     "op10_toxicity": op10_toxicity,
