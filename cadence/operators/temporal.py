@@ -64,9 +64,10 @@ def profiles(posts: DataFrame, config: TemporalConfig = TemporalConfig()) -> Dat
         posts = posts.filter("kind <> 'repost'")
     gaps = with_gaps(posts)
     order = Window.partitionBy("account_id").orderBy("place")
-    day = F.to_date("created_at")
+    day = F.floor(F.col("micros") / 86_400_000_000)
     gaps = gaps.withColumn("new_day", F.coalesce((day != F.lag(day).over(order)).cast("int"), F.lit(1)))
-    hour, micros = F.hour("created_at"), F.col("micros")
+    micros = F.col("micros")
+    hour = F.pmod(F.floor(micros / 3_600_000_000), F.lit(24))
     bins = log_bin(F.col("gap"))
     base = gaps.groupBy("account_id").agg(
         F.count(F.lit(1)).alias("n_posts"),
