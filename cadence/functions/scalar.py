@@ -67,7 +67,7 @@ def quiet_share(histogram: Column, hours: int = 6) -> Column:
 
 def log_bin(gap: Column, last: int = 20) -> Column:
     """The doubling of seconds that a gap falls in, capped."""
-    return F.least(F.floor(F.log2(F.greatest(gap, F.lit(1.0)))).cast("int"), F.lit(last))
+    return F.when(gap.isNotNull(), F.least(F.floor(F.log2(F.greatest(gap, F.lit(1.0)))).cast("int"), F.lit(last)))
 
 
 def blank_to_null(text: Column) -> Column:
