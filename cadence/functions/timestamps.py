@@ -7,6 +7,8 @@ cast, since casts would apply the session's zone silently.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,6 @@ def _zone(text: Column) -> Column:
     return F.when(F.upper(text) == "Z", F.lit(0).cast("long")).when(F.length(digits) == 5, (sign * minutes).cast("long") * 60_000_000)
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
 def _wall(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
     """Microseconds of a wall-clock time in UTC; NULL if there is no such time."""
     zero = F.lit("0")
@@ -48,31 +46,88 @@ def _wall(year: Column, month: Column, day: Column, hour: Column, minute: Column
     return F.unix_micros(made)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _parts(body: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern as an array; groups that didn't match are empty texts."""
+    return F.array(*(F.regexp_extract(body, pattern, k) for k in range(1, groups + 1)))
+
+
+def _filled(parts: Column, k: int) -> Column:
+    return F.when(F.get(parts, k) != "", F.get(parts, k))
+
+
+def _iso_of(body: Column) -> Column:
+    def made(parts: Column) -> Column:
+        return F.struct(_wall(*(_filled(parts, k) for k in range(6))).alias("wall"), let(F.get(parts, 6), _zone).alias("zone"))
+
+    return F.when(body.rlike(_ISO), let(_parts(body, _ISO, 7), made))
+
+
+def _wordy_of(body: Column) -> Column:
+    names = F.array(*(F.lit(m) for m in _MONTHS))
+
+    def made(parts: Column) -> Column:
+        month = F.array_position(names, F.lower(F.get(parts, 0))).cast("string")
+        return _wall(F.get(parts, 6), month, F.get(parts, 1), F.get(parts, 2), F.get(parts, 3), F.get(parts, 4)) - let(F.get(parts, 5), _zone)
+
+    return F.when(body.rlike(_WORDY), let(_parts(body, _WORDY, 7), made))
+
+
+def _slash_of(body: Column, date_order: str | None) -> Column:
+    """wall and unclear of a slash date: a component over 12 settles the order, else the declared one."""
+
+    def made(parts: Column) -> Column:
+        first, second = F.get(parts, 0).cast("int"), F.get(parts, 1).cast("int")
+        order = F.when((first > 12) & (second <= 12), "dmy").when((second > 12) & (first <= 12), "mdy")
+        order = order.when((first <= 12) & (second <= 12), F.lit(date_order))
+
+        def read(said: Column) -> Column:
+            day, month = F.when(said == "dmy", F.get(parts, 0)).otherwise(F.get(parts, 1)), F.when(said == "dmy", F.get(parts, 1)).otherwise(F.get(parts, 0))
+            wall = F.when(said.isNotNull(), _wall(F.get(parts, 2), month, day, *(_filled(parts, k) for k in (3, 4, 5))))
+            return F.struct(wall.alias("wall"), (said.isNull() & F.lit(date_order is None)).alias("unclear"))
+
+        return let(order, read)
+
+    return F.when(body.rlike(_SLASH), let(_parts(body, _SLASH, 6), made))
+
+
 def parsed(text: Column, assume_offset_hours: float | None = None, date_order: str | None = None) -> tuple[Column, Column]:
     """(instant, reason): a timestamp, or why there is none.
 
     ``date_order`` is ``mdy`` or ``dmy``.  NULL and blank texts have neither.
     """
-    body = F.trim(text)
-    number = body.try_cast("double")
-    epoch = F.when(body.rlike(_NUMBER), F.round(F.when(F.abs(number) > MILLISECONDS, number / 1000.0).otherwise(number) * 1e6).cast("long"))
-    iso = F.when(body.rlike(_ISO), _wall(*(_part(body, _ISO, k) for k in range(1, 7))))
-    iso_zone = _zone(_part(body, _ISO, 7))
-    first, second = _part(body, _SLASH, 1).try_cast("int"), _part(body, _SLASH, 2).try_cast("int")
-    is_slash = body.rlike(_SLASH)
-    day_first = F.when((first > 12) & (second <= 12), True).when((second > 12) & (first <= 12), False)
-    if date_order is not None:
-        day_first = F.coalesce(day_first, F.when((first <= 12) & (second <= 12), F.lit(date_order == "dmy")))
-    day, month = F.when(day_first, first).otherwise(second), F.when(day_first, second).otherwise(first)
-    slash = F.when(is_slash & day_first.isNotNull(), _wall(_part(body, _SLASH, 3), month.cast("string"), day.cast("string"), *(_part(body, _SLASH, k) for k in (4, 5, 6))))
-    names = F.array(*(F.lit(m) for m in _MONTHS))
-    at = F.array_position(names, F.lower(_part(body, _WORDY, 1)))
-    wordy = F.when(body.rlike(_WORDY) & (at > 0), _wall(_part(body, _WORDY, 7), at.cast("string"), *(_part(body, _WORDY, k) for k in (2, 3, 4, 5))))
-    wordy_zone = _zone(_part(body, _WORDY, 6))
-    wall = F.coalesce(iso, slash)
-    zone = F.when(iso.isNotNull(), iso_zone)
+    both = parsed_struct(text, assume_offset_hours, date_order)
+    return both["at"], both["reason"]
+
+
+def parsed_struct(text: Column, assume_offset_hours: float | None = None, date_order: str | None = None) -> Column:
+    """``parsed`` as one struct of at and reason."""
     assumed = F.lit(None).cast("long") if assume_offset_hours is None else F.lit(round(assume_offset_hours * 3_600_000_000)).cast("long")
-    micros = F.coalesce(epoch, wordy - wordy_zone, wall - F.coalesce(zone, assumed))
-    unclear = is_slash & day_first.isNull() & F.lit(date_order is None)
-    reason = F.when(body.isNull() | (body == "") | micros.isNotNull(), None).when(unclear, AMBIGUOUS).when(wall.isNotNull(), NAIVE).otherwise(BAD)
-    return F.timestamp_micros(micros), reason
+
+    def epoch(number: Column) -> Column:
+        return F.round(F.when(F.abs(number) > MILLISECONDS, number / 1000.0).otherwise(number) * 1e6).cast("long")
+
+    def read(body: Column) -> Column:
+        known = F.struct(
+            F.when(body.rlike(_NUMBER), let(body.try_cast("double"), epoch)).alias("epoch"),
+            _iso_of(body).alias("iso"),
+            _wordy_of(body).alias("wordy"),
+            _slash_of(body, date_order).alias("slash"),
+        )
+
+        def settle(k: Column) -> Column:
+            wall = F.coalesce(k["iso"]["wall"], k["slash"]["wall"])
+            micros = F.coalesce(k["epoch"], k["wordy"], wall - F.coalesce(k["iso"]["zone"], assumed))
+            return F.struct(micros.alias("micros"), wall.isNotNull().alias("naive"), F.coalesce(k["slash"]["unclear"], F.lit(False)).alias("unclear"))
+
+        def told(m: Column) -> Column:
+            reason = F.when(F.coalesce(body, F.lit("")) == "", None).when(m["micros"].isNotNull(), None).when(m["unclear"], AMBIGUOUS).when(m["naive"], NAIVE).otherwise(BAD)
+            return F.struct(F.timestamp_micros(m["micros"]).alias("at"), reason.alias("reason"))
+
+        return let(let(known, settle), told)
+
+    return let(F.trim(text), read)
