@@ -52,11 +52,14 @@ class LanguageModel:
     def pooled(self, windows: np.ndarray) -> np.ndarray:
         """The strongest response of each filter in each window (rows of bytes)."""
         near, far = self.tables()
-        x = np.ascontiguousarray(windows.T).astype(np.uint16)
+        x = np.zeros((windows.shape[1] + 1, len(windows)), np.uint16)
+        x[:-1] = windows.T
         pair = x[:-1] << 8 | x[1:]
-        out = np.take(near, pair, axis=0)
-        out[:-2, :, FILTERS:] += np.take(far, pair[2:], axis=0)
-        out[-2:, :, FILTERS:] = -np.inf
+        out = np.take(near, pair[:-1], axis=0)
+        out[:-1, :, FILTERS:] += np.take(far, pair[2:], axis=0)
+        # Places at the end where a filter of three or four bytes doesn't fit.
+        out[-1, :, FILTERS:] = -np.inf
+        out[-2, :, 2 * FILTERS :] = -np.inf
         return np.maximum(out.max(axis=0), 0)
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
