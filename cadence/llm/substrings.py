@@ -288,11 +288,10 @@ def spans(spark: SparkSession, scratch: Scratch, docs: DataFrame, length: int =
     marks = _marked(asked).groupBy("doc_id").agg(F.collect_list("ordinal").alias("marks"))
     marks = scratch.write(marks, "marks")
     scratch.drop("asked")
-    contexts = scratch.write(_contexts(_some(docs, marks).join(marks, "doc_id"), buckets, length, gram), "contexts")
-    scratch.drop("marks")
+    contexts = _contexts(_some(docs, marks).join(marks, "doc_id"), buckets, length, gram)
     found = _covered(contexts, length, gram).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     found = scratch.write(found, "found")
-    scratch.drop("contexts")
+    scratch.drop("marks")
     return found
 
 
