@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,20 +129,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _automata(spark: SparkSession, benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[SuffixAutomaton]:
-    """Automata over blocks of items; items with a null id or a null text have no windows."""
+def _automata(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[SuffixAutomaton, bool]]:
+    """Automata over blocks of items, and whether it is the last.
+
+    Items with a null id or a null text have no windows.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        yield SuffixAutomaton(sorted((r["item_id"], words(r["text"])) for r in rows), window)
+        yield SuffixAutomaton(sorted((r["item_id"], words(r["text"])) for r in rows), window), k == blocks - 1
 
 
-def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """``docs`` with _n_words, _spans (merged runs of hit words) and _items (ids of matched items).
 
-    One pass over the documents for each block of the benchmark; no shuffle.  Null and empty texts
+    With ``cut`` the spans are taken out of the texts, by the last pass.  One pass over the documents for each block of the benchmark; no shuffle.  Null and empty texts
     have no words, repeated rows come as often as they occur, and all columns are kept.
     """
     at = docs.columns.index("text")
@@ -156,22 +158,26 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, windo
     names = [*docs.columns, *(x.name for x in added)]
     scratch = Scratch(spark, "decontamination")
     out, passed = docs, 0
-    for automaton in _automata(spark, benchmark, window, block_bytes):
+    for automaton, last in _automata(benchmark, window, block_bytes):
         if passed:
             out = scratch.write(out, f"pass{passed}")
         shared = spark.sparkContext.broadcast(automaton)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, again=bool(passed)) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, "text", 16_000_000):
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, again=bool(passed), cut=cut and last) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches, "text", 4_000_000):
                 counts, spans, items = [], [], []
                 earlier = (batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1).to_pylist()) if again else None
-                for k, text in enumerate(batch.column(at).to_pylist()):
+                texts = batch.column(at).to_pylist()
+                for k, text in enumerate(texts):
                     sequence = words(text)
                     found = shared.value.hits(sequence)
                     counts.append(len(sequence))
                     spans.append(merged([(a, b) for a, b, _ in found] + [tuple(x) for x in (earlier[0][k] if earlier else [])]))
                     items.append(sorted({x for *_, some in found for x in some}.union(earlier[1][k] if earlier else [])))
-                columns = [*batch.columns[: len(names) - 3], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+                kept = batch.columns[: len(names) - 3]
+                if cut and any(spans):
+                    kept[at] = pa.array([without_spans(x, s) if s else x for x, s in zip(texts, spans, strict=True)], kept[at].type)
+                columns = [*kept, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         out = out.mapInArrow(run, schema)
@@ -210,15 +216,9 @@ def cleaned(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, cover
     Spans of hit words are cut out of the texts; documents of which they are more than ``coverage``
     go.  Other rows and columns are kept as they are; n_chars, where there is one, follows the text.
     """
-    cut = F.pandas_udf(_cut, T.StringType())
-    found = matches(spark, docs, benchmark)
+    found = matches(spark, docs, benchmark, cut=True)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, x: total + x[1] - x[0])
     kept = found.filter(hit <= coverage * F.col("_n_words"))
-    kept = kept.withColumn("text", F.when(F.size("_spans") > 0, cut("text", "_spans")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
-
-
-def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([without_spans(x, s) if s is not None and len(s) else x for x, s in zip(text, spans, strict=True)], dtype=object)

@@ -59,7 +59,7 @@ def signed(docs: DataFrame, how: Similarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-        for batch in small_batches(batches, "text", 3_000_000):
+        for batch in small_batches(batches, "text", 1_000_000):
             sets = _sets(batch, 1, how.words)
             rows = signatures(sets, how.bands * how.rows)
             d1 = np.array([((x ^ first) * second).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
@@ -76,7 +76,7 @@ def set_table(docs: DataFrame, how: Similarity) -> DataFrame:
     """The sorted shingle hashes of each text (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4_000_000):
+        for batch in small_batches(batches, "text", 1_000_000):
             sets = _sets(batch, 1, how.words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "shingles"])
 

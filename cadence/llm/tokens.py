@@ -7,7 +7,7 @@ import os
 import re
 import sys
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 #: The pattern that splits text before the merges (fixed value of this vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,14 +38,21 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.reference = Tokenizer.from_file(path)
-        self.reference.encode_special_tokens = True
+        self.path = path
         self.fast = tiktoken.Encoding("cadence", pat_str=PATTERN, mergeable_ranks=byte_vocabulary(path), special_tokens={})
 
+    @cached_property
+    def reference(self):
+        """The file in tokenizers, loaded when a text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def ids(self, text: str) -> list[int]:
         if RARE.search(text):
             return self.reference.encode(text, add_special_tokens=False).ids
