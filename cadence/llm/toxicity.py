@@ -27,10 +27,10 @@ SIZES = (3, 4, 5, 6)
 BITS = 18
 WINDOW, STRIDE = 8, 4
 #: Documents of either class that a fit may see, and the longest of them in characters.
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 2500, 20_000
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 2500, 12_000
 THRESHOLD = 0.7
 #: Bytes scored at once; longer texts are scored in parts that overlap by OVERLAP.
-CHUNK, OVERLAP = 1_000_000, 1_000
+CHUNK, OVERLAP = 250_000, 1_000
 SPACE = 32
 
 
@@ -193,8 +193,10 @@ def fit(texts: list[str], labels: list[int], *, dims: int = 8, rounds: int = 3,
     if min(np.bincount(target[held], minlength=2)) < 5:
         held[:] = False
     cuts = [(k, int(offsets[k]), int(offsets[k + 1])) for k in range(len(once)) if not held[k] and offsets[k + 1] > offsets[k]]
-    found = bags(raw, cuts)
-    toxic = target[found.owner] == 1
+    groups = _groups(raw, cuts)
+    owner = np.concatenate([g.owner for g in groups])
+    bounds = np.cumsum([0, *(len(g.owner) for g in groups)])
+    toxic = target[owner] == 1
     model = (rng.normal(0, 0.1, (1 << BITS, dims + 1)).astype(np.float32), rng.normal(0, 0.1, (dims + 1, 2)))
 
     def linear() -> ToxicityModel:
@@ -204,8 +206,9 @@ def fit(texts: list[str], labels: list[int], *, dims: int = 8, rounds: int = 3,
 
     def rows(picked: np.ndarray) -> list[np.ndarray]:
         out = []
-        for k in picked:
-            a, b = found.begin[k], found.end[k]
+        for k, at in zip(picked, np.searchsorted(bounds, picked, side="right") - 1, strict=True):
+            found = groups[at]
+            a, b = found.begin[k - bounds[at]], found.end[k - bounds[at]]
             grams = found.grams[:, a:b][found.valid[:, a:b]]
             out.append(grams if len(grams) else np.zeros(1, np.int32))
         return out
@@ -213,11 +216,12 @@ def fit(texts: list[str], labels: list[int], *, dims: int = 8, rounds: int = 3,
     at_toxic, at_other = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     for k in range(rounds + 1):
         if k:
-            logit = linear().windows(found)
+            now = linear()
+            logit = np.concatenate([now.windows(g) for g in groups])
             best = np.full(len(once), -np.inf)
-            np.maximum.at(best, found.owner, logit)
-            keep = at_toxic[logit[at_toxic] >= np.maximum(best[found.owner[at_toxic]] - 1e-9, 2.0 if k > 1 else np.inf)]
-            keep = np.union1d(keep, at_toxic[logit[at_toxic] >= best[found.owner[at_toxic]] - 1e-9])
+            np.maximum.at(best, owner, logit)
+            keep = at_toxic[logit[at_toxic] >= np.maximum(best[owner[at_toxic]] - 1e-9, 2.0 if k > 1 else np.inf)]
+            keep = np.union1d(keep, at_toxic[logit[at_toxic] >= best[owner[at_toxic]] - 1e-9])
             hard = at_other[np.argsort(-logit[at_other], kind="stable")[: 2 * len(keep) + 500]]
             plain = rng.choice(at_other, min(len(at_other), 2 * len(keep) + 2000), replace=False)
             others = np.union1d(hard, plain)
@@ -233,17 +237,36 @@ def fit(texts: list[str], labels: list[int], *, dims: int = 8, rounds: int = 3,
     return fitted
 
 
+def _groups(raw: np.ndarray, cuts: list[tuple[int, int, int]]) -> list[Bags]:
+    """The windows of the parts, a chunk of text at a time."""
+    out, group, size = [], [], 0
+    for cut in cuts:
+        if group and size + cut[2] - cut[1] > CHUNK:
+            out.append(bags(raw, group))
+            group, size = [], 0
+        group.append(cut)
+        size += cut[2] - cut[1]
+    return [*out, bags(raw, group)]
+
+
 def _calibrate(logit: np.ndarray, target: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve with smoothed targets, by Newton's method."""
+    """Slope and shift of a logistic curve with smoothed targets, by Newton's method with backtracking."""
     n1, n0 = (target == 1).sum(), (target == 0).sum()
     want = np.where(target == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.column_stack([logit, np.ones_like(logit)])
     theta = np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float((np.logaddexp(0, z) - want * z).sum() + 0.5 * ((at - [1.0, 0.0]) ** 2).sum())
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         w = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve(x.T @ (x * w[:, None]) + 1e-4 * np.eye(2), x.T @ (p - want) + 1e-4 * (theta - [1.0, 0.0]))
-        theta -= np.clip(step, -2, 2)
+        step = np.linalg.solve(x.T @ (x * w[:, None]) + np.eye(2), x.T @ (p - want) + (theta - [1.0, 0.0]))
+        while loss(theta - step) > loss(theta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        theta = theta - step
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
@@ -290,7 +313,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", into: st
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, 16_000_000):
+        for batch in small_batches(batches, text, 4_000_000):
             values = shared.value.scores(*text_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*names, into])
 
