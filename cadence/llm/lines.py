@@ -1,15 +1,19 @@
-"""Line de-duplication by content-defined chunks of lines.
+"""Line de-duplication by passages of lines.
 
-A rolling hash over the hashes of the last lines chooses chunk boundaries, so a passage that is
-inserted, shifted or cut elsewhere falls into the same chunks again after a few lines.  A chunk of
-several lines that occurs earlier (in document order, then within the document) is removed, after
-its bytes have been compared with those of the first occurrence.
+A passage is removable from a number of lines and characters on.  The least removable passages that
+begin or end at each line are hashed; those that occur earlier (in document order, then within the
+document, without overlap) are removed, after their bytes have been compared with those of the first
+occurrence.  Every repeated passage is the union of such least ones, whatever lines surround it.
+
+``Chunking`` is a sparser rule: a rolling hash over the hashes of the last lines chooses chunk
+boundaries, and whole chunks are compared, so a passage loses only the chunks that fall inside it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,50 @@ class Chunking:
     removable_chars: int = 40
 
 
+@dataclass(frozen=True)
+class Passages:
+    """What is removable, and how many empty lines a least passage may begin or end with."""
+
+    removable_lines: int = 2
+    removable_chars: int = 40
+    most_blank: int = 64
+
+
+Rule = Chunking | Passages
+#: Rows of a batch at most, and bytes of the passages in it.
+ROWS, BODIES = 50_000, 2_000_000
+
+
+def passages(lines: list[str], how: Passages) -> list[tuple[int, int]]:
+    """(first line, end) of the least removable passages that begin or end at each line, in order.
+
+    Those that begin with more than ``most_blank`` empty lines, or end with them, are left out: each
+    would repeat the rest of a long blank run.  Their other lines belong to shorter passages.
+    """
+    n, blank = len(lines), how.most_blank
+    total = list(accumulate(map(len, lines), initial=0))
+    found = set()
+    stop = 0
+    for first in range(n):
+        stop = max(stop, first + how.removable_lines)
+        while stop < n and total[stop] - total[first] < how.removable_chars:
+            stop += 1
+        if stop > n or total[stop] - total[first] < how.removable_chars:
+            break
+        if stop - first <= blank or total[first + blank + 1] > total[first]:
+            found.add((first, stop))
+    first = n
+    for stop in range(n, 0, -1):
+        first = min(first, stop - how.removable_lines)
+        while first > 0 and total[stop] - total[first] < how.removable_chars:
+            first -= 1
+        if first < 0 or total[stop] - total[first] < how.removable_chars:
+            break
+        if stop - first <= blank or total[stop] > total[stop - blank - 1]:
+            found.add((first, stop))
+    return sorted(found)
+
+
 def chunks(lines: list[str], how: Chunking) -> list[tuple[int, int]]:
     """(first line, end) of each chunk.
 
@@ -58,10 +106,16 @@ def chunks(lines: list[str], how: Chunking) -> list[tuple[int, int]]:
     return out
 
 
-def _removable(lines: list[str], a: int, b: int, how: Chunking) -> bool:
+def _removable(lines: list[str], a: int, b: int, how: Rule) -> bool:
     return b - a >= how.removable_lines and sum(map(len, lines[a:b])) >= how.removable_chars
 
 
+def _candidates(lines: list[str], how: Rule) -> list[tuple[int, int]]:
+    if isinstance(how, Passages):
+        return passages(lines, how)
+    return [(a, b) for a, b in chunks(lines, how) if _removable(lines, a, b, how)]
+
+
 CHUNK = "row long, first int, stop int, high long, low long"
 
 
@@ -70,98 +124,146 @@ def _digest(body: str) -> tuple[int, int]:
     return int(raw[0]), int(raw[1])
 
 
-def chunk_table(keyed: DataFrame, how: Chunking) -> DataFrame:
-    """The removable chunks of each text (row, text): first line, end, and 128-bit hash."""
+def chunk_table(keyed: DataFrame, how: Rule) -> DataFrame:
+    """The candidates of each text (row, text): first line, end, and 128-bit hash."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["row", "first", "stop", "high", "low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2_000_000):
             rows = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
-                rows += [(row, a, b, *_digest("\n".join(lines[a:b]))) for a, b in chunks(lines, how) if _removable(lines, a, b, how)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["row", "first", "stop", "high", "low"])
+                for a, b in _candidates(lines, how):
+                    rows.append((row, a, b, *_digest("\n".join(lines[a:b]))))
+                    if len(rows) >= ROWS:
+                        yield batch_of(rows)
+                        rows = []
+            yield batch_of(rows)
 
     return keyed.select("row", "text").mapInArrow(run, CHUNK)
 
 
 def chunk_texts(with_chunks: DataFrame) -> DataFrame:
-    """The bytes of the listed chunks (array of first, stop, high, low) of each text."""
+    """The bytes of the listed candidates (array of first, stop, high, low, own) of each text."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    names = ["row", "first", "stop", "high", "low", "own", "body"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2_000_000):
-            rows = []
+            rows, size = [], 0
             for row, text, some in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                lines = text.split("\n")
-                rows += [(row, x["first"], x["stop"], x["high"], x["low"], x["owner"], x["owner_first"], "\n".join(lines[x["first"] : x["stop"]]).encode()) for x in some]
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            names = ["row", "first", "stop", "high", "low", "owner", "owner_first", "body"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+                lines = (text or "").split("\n")
+                for x in some:
+                    body = "\n".join(lines[x["first"] : x["stop"]]).encode()
+                    rows.append((row, x["first"], x["stop"], x["high"], x["low"], x["own"], body))
+                    size += len(body)
+                    if size >= BODIES or len(rows) >= ROWS:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            yield batch_of(rows)
 
-    return with_chunks.select("row", "text", "some").mapInArrow(run, f"{CHUNK}, owner long, owner_first int, body binary")
+    return with_chunks.select("row", "text", "some").mapInArrow(run, f"{CHUNK}, own boolean, body binary")
 
 
-def removals(spark: SparkSession, scratch: Scratch, keyed: DataFrame, how: Chunking) -> DataFrame:
-    """row, cut (array of first, stop): the chunks of each text (row, text) that occur earlier.
+def repeats(scratch: Scratch, keyed: DataFrame, how: Rule) -> DataFrame:
+    """_row, _some (array of first, stop, high, low, own): the candidates whose hash occurs again.
 
-    The first occurrence of a chunk is that with the smallest (row, first line).
+    The first occurrence, marked as own, is that with the smallest (row, first line); a candidate of
+    the same text that overlaps it is left out.
     """
     found = scratch.write(chunk_table(keyed, how), "chunks")
     first = F.min(F.struct("row", "first")).alias("at")
     owners = found.groupBy("high", "low").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
     owners = scratch.write(owners.select("high", "low", F.col("at.row").alias("owner"), F.col("at.first").alias("owner_first")), "owners")
-    repeated = found.join(owners, ["high", "low"])
-    listed = repeated.groupBy("row").agg(F.collect_list(F.struct("first", "stop", "high", "low", "owner", "owner_first")).alias("some"))
-    bodies = scratch.write(chunk_texts(keyed.join(listed, "row")), "bodies")
-    is_owner = (F.col("row") == F.col("owner")) & (F.col("first") == F.col("owner_first"))
-    originals = bodies.filter(is_owner).select("high", "low", F.col("body").alias("original"))
-    same = bodies.filter(~is_owner).join(originals, ["high", "low"]).filter(F.col("body") == F.col("original"))
-    cut = scratch.write(same.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("cut")), "cut")
+    own = (F.col("row") == F.col("owner")) & (F.col("first") == F.col("owner_first"))
+    apart = (F.col("row") != F.col("owner")) | (F.col("first") - F.col("owner_first") >= F.col("stop") - F.col("first"))
+    repeated = found.join(owners, ["high", "low"]).filter(own | apart)
+    return repeated.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("first", "stop", "high", "low", own.alias("own")))).alias("_some"))
+
+
+def unlike(scratch: Scratch, listed: DataFrame) -> DataFrame:
+    """_row, _unlike (array of first, stop): listed candidates with other bytes than the first of their hash."""
+    bodies = scratch.write(chunk_texts(listed), "bodies")
+    originals = bodies.filter("own").select("high", "low", F.col("body").alias("original")).distinct()
+    other = bodies.filter("not own").join(originals, ["high", "low"], "left").groupBy("row", "first", "stop").agg(F.max(F.coalesce(F.col("body") == F.col("original"), F.lit(False))).alias("same"))
+    other = other.filter("not same").groupBy(F.col("row").alias("_row"))
+    out = scratch.write(other.agg(F.collect_list(F.struct("first", "stop")).alias("_unlike")), "unlike")
     scratch.drop("chunks", "owners", "bodies")
-    return cut
+    return out
+
+
+def _merged(some: list[dict] | None, unlike: list[dict] | None) -> list[tuple[int, int]]:
+    """The lines of the candidates (sorted) that occur earlier, as spans apart from each other."""
+    out: list[tuple[int, int]] = []
+    not_these = {(x["first"], x["stop"]) for x in unlike or ()}
+    for x in some or ():
+        if x["own"] or (x["first"], x["stop"]) in not_these:
+            continue
+        if out and x["first"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], x["stop"]))
+        else:
+            out.append((x["first"], x["stop"]))
+    return out
 
 
-def _without(text: str | None, cut: list[dict] | None) -> str | None:
+def _without(text: str | None, cut: list[tuple[int, int]]) -> str | None:
     if not cut:
         return text
     lines, out, done = text.split("\n"), [], 0
-    for x in cut:
-        out += lines[done : x["first"]]
-        done = x["stop"]
+    for first, stop in cut:
+        out += lines[done:first]
+        done = stop
     return "\n".join(out + lines[done:])
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, *, how: Chunking = Chunking(), key: str = "doc_id") -> DataFrame:
-    """``docs`` with _n_lines, _n_removed and the text without repeated chunks.
+def deduplicated(spark: SparkSession, docs: DataFrame, *, how: Rule = Passages(), key: str = "doc_id") -> DataFrame:
+    """``docs`` with _n_lines, _n_removed and the text without repeated passages.
 
     Rows are ordered by the key, a long.  Rows with a null key are kept as they are; a null text
-    stays null, an empty one is one empty line, and neither has chunks.  Rows that repeat a key are
-    the same document read twice: a chunk counts as earlier only within or before its document.
+    stays null, an empty one is one empty line, and neither has passages.  Rows that repeat a key
+    are the same document read twice: a passage counts as earlier only within or before its document.
+
+    Texts move once, to their candidates; the bytes are compared there, and only candidates that turn
+    out unlike (equal hashes of different bytes) are joined afterwards.
     """
     scratch = Scratch(spark, "lines")
     keyed = docs.select(F.col(key).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
-    cut = removals(spark, scratch, keyed.filter("row is not null and length(text) > 0"), how)
+    some = repeats(scratch, keyed.filter("row is not null and length(text) > 0"), how)
+    joined = docs.join(some, F.col(key).cast("long") == F.col("_row"), "left").select(*docs.columns, "_some")
+    joined = scratch.write(joined, "texts")
+    listed = joined.filter("_some is not null").select(F.col(key).cast("long").alias("row"), F.col("text").cast("string").alias("text"), F.col("_some").alias("some"))
+    wrong = unlike(scratch, listed)
+    if wrong.isEmpty():
+        joined = joined.withColumn("_unlike", F.lit(None).cast(wrong.schema["_unlike"].dataType))
+    else:
+        joined = joined.join(wrong, F.col(key).cast("long") == F.col("_row"), "left").drop("_row")
     at, names = docs.columns.index("text"), docs.columns
     added = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())]
-    joined = docs.join(cut.withColumnRenamed("row", "_row").withColumnRenamed("cut", "_cut"), F.col(key).cast("long") == F.col("_row"), "left").select(*docs.columns, "_cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2_000_000):
-            texts, cuts = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            texts = batch.column(at).to_pylist()
+            cuts = [_merged(x, y) for x, y in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
             columns = [*batch.columns[: len(names)]]
             columns[at] = pa.array([_without(x, c) for x, c in zip(texts, cuts, strict=True)], columns[at].type)
             n_lines = pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())
-            n_removed = pa.array([sum(x["stop"] - x["first"] for x in c or ()) for c in cuts], pa.int64())
+            n_removed = pa.array([sum(b - a for a, b in c) for c in cuts], pa.int64())
             yield pa.RecordBatch.from_arrays([*columns, n_lines, n_removed], names=[*names, "_n_lines", "_n_removed"])
 
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
-def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_chars and kept_sha256 of every row."""
-    found = deduplicated(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+def report(spark: SparkSession, docs: DataFrame, *, how: Rule = Chunking()) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_chars and kept_sha256 of every row; the query passes ``Passages()``."""
+    found = deduplicated(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), how=how)
     kept = F.coalesce("text", F.lit(""))
     return found.select(
         "doc_id",
@@ -172,7 +274,7 @@ def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
-def thinned(spark: SparkSession, docs: DataFrame, *, how: Chunking = Chunking()) -> DataFrame:
+def thinned(spark: SparkSession, docs: DataFrame, *, how: Rule = Passages()) -> DataFrame:
     """``docs`` with the texts shortened, n_chars following; rows whose text is all repeats go."""
     found = deduplicated(spark, docs, how=how)
     if "n_chars" in docs.columns:

@@ -29,7 +29,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(spark, table(spark, sf_dir, "documents"))
+    return lines.report(spark, table(spark, sf_dir, "documents"), how=lines.Passages())
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
