@@ -26,8 +26,8 @@ from cadence.llm._shared import crc32_of_id, small_batches, text_bytes
 SIZES = (3, 4, 5, 6)
 BITS = 18
 WINDOW, STRIDE = 8, 4
-#: Documents of either class that a fit may see, and the longest of them in characters.
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 2500, 12_000
+#: Documents of either class that a fit may see, and the characters of all of them together.
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 2500, 16_000_000
 THRESHOLD = 0.7
 #: Bytes scored at once; longer texts are scored in parts that overlap by OVERLAP.
 CHUNK, OVERLAP = 250_000, 1_000
@@ -281,23 +281,30 @@ def fit_on(
 ) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows outside the held-out fold (crc32(doc_id) mod 3 = 1).
 
-    The rows of either class with the smallest hashed ids are taken, of texts of up to
-    ``sample_chars`` characters; labels other than 0 and 1, null ids and null texts take no part.
+    The rows of either class with the smallest hashed ids are taken, whatever their length, until the
+    class has its share of ``sample_chars``; a piece from a hashed place in the text that passes the
+    share fills it up.  Labels other than 0 and 1, null ids and null texts take no part.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.filter("doc_id is not null and toxic in (0, 1)").filter(F.pmod(crc32_of_id("doc_id"), F.lit(3)) != 1)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n")).filter(F.col("n").between(1, sample_chars))
-    known = usable.join(known.select("doc_id").distinct(), "doc_id").withColumn("at", F.xxhash64("doc_id"))
-    picked: dict[int, int] = {}
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n")).filter("n > 0")
+    known = usable.join(known.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id").withColumn("at", F.xxhash64("doc_id"))
+    picked: list[tuple[int, int, int, int]] = []
     for label, bound in ((1, sample_toxic), (0, sample_other)):
+        left = sample_chars * bound // (sample_toxic + sample_other)
         for r in known.filter(F.col("toxic") == label).orderBy("at", "doc_id").limit(bound).collect():
-            picked[r["doc_id"]] = label
+            if left <= 0:
+                break
+            size = min(r["n"], left)
+            picked.append((r["doc_id"], label, r["at"] % (r["n"] - size + 1), size))
+            left -= size
     if not picked:
         return fit([], [])
-    chosen = spark.createDataFrame(sorted(picked.items()), "id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, sample_chars))
-    rows = texts.join(F.broadcast(chosen), "id").collect()
+    chosen = spark.createDataFrame(sorted(picked), "id long, toxic int, skipped long, size long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
+    part = F.substring("text", (F.col("skipped") + 1).cast("int"), F.col("size").cast("int"))
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "toxic", part.alias("text")).filter(F.length("text") > 0).collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 

@@ -76,3 +76,19 @@ def test_long_texts_score_as_their_parts(toxic_rows):
     assert scores[0] > 0.7 > scores[1]
     constant = toxicity.fit(["a", "b"], [0, 0])
     assert constant.scores(*toxicity._flat(["a", ""])).max() < 0.5
+
+
+def test_long_labelled_texts_take_part_and_the_sample_is_bounded(spark, toxic_rows, monkeypatch):
+    rows, labels = toxic_rows
+    long = [(k, " ".join([x, *[r[1] for r in rows if r[0] % 4][k % 7 * 30 : k % 7 * 30 + 90]])) for k, x, *_ in rows[:80]]
+    assert min(len(x) for _, x in long) > 12_000
+    table = spark.createDataFrame(long, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, targets: seen.append((texts, targets)))
+    toxicity.fit_on(spark, table, marks)
+    texts, targets = seen.pop()
+    assert len(texts) > 40 and set(targets) == {0, 1} and set(texts) <= {x for _, x in long}
+    toxicity.fit_on(spark, table, marks, sample_chars=100_000)
+    texts, targets = seen.pop()
+    assert set(targets) == {0, 1} and sum(map(len, texts)) == 100_000
