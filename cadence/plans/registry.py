@@ -401,5 +401,5 @@ def coposting_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def coposting_null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = coordination.eligible(b.document_posts(spark, sf_dir), COPOSTING)
-    return coordination.null_model(records, COPOSTING, 10)
+    return coordination.null_model(records, COPOSTING)
 

@@ -95,3 +95,10 @@ def test_sensitivity_and_shuffle(spark):
     records = co.eligible(corpus.posts, co.CoordinationConfig())
     moved = co.shuffled(records, 2, 1)
     assert moved.groupBy("perm").agg(F.sum("micros")).select("sum(micros)").distinct().count() == 1
+
+
+def test_registered_null_model_has_the_permutations_of_the_operator(spark, tmp_path):
+    from cadence.plans import registry
+
+    spark.createDataFrame([(1, "some text of a post", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.coposting_null_model(spark, str(tmp_path)).count() == 100
