@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_OPEN: ContextVar[list["Scratch"] | None] = ContextVar("scratch folders of a stage", default=None)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Delete the intermediate tables made inside; whatever reads them is to be written inside too."""
+    made: list[Scratch] = []
+    before = _OPEN.set(made)
+    try:
+        yield
+    finally:
+        _OPEN.reset(before)
+        for scratch in made:
+            scratch.drop("")
+
+
 class Scratch:
-    """Intermediate tables in the shared folder; they cut lineage and survive a lost executor."""
+    """Intermediate tables in the shared folder; they cut lineage and survive a lost executor.
+
+    They stay until ``drop``, or until the end of a ``passing`` block: a result that is read later
+    still needs them.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/cadence-{name}-{uuid.uuid4().hex}"
+        if (made := _OPEN.get()) is not None:
+            made.append(self)
 
     def path(self, table: str) -> str:
-        return f"{self.base}/{table}"
+        return f"{self.base}/{table}" if table else self.base
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Write ``df`` as a Parquet table and return a DataFrame that reads it."""
@@ -64,6 +88,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc32_of_id(column: str) -> "F.Column":
     """CRC-32 of an id written as text, for fold rules."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

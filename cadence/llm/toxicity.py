@@ -5,15 +5,18 @@ so a misspelling shares most n-grams with the word it comes from.  The vectors o
 and the softmax are trained jointly in numpy.  Labels hold for documents, so training alternates:
 windows of toxic documents start as toxic, then only those that the model itself finds most toxic
 stay, beside the most toxic-looking windows of the other documents.  A document scores as its most
-toxic window, calibrated on documents that the fit left out.
+toxic window, calibrated on documents that a fit left out.
 
-A fitted model is linear in the average, so each n-gram needs only one number at scoring time.
+Fits run in tasks: one on the whole sample, and one for each half of it, whose logits for the other
+half calibrate the first.  A fitted model is linear in the average, so each n-gram needs only one
+number at scoring time.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.llm._shared import crc32_of_id, small_batches, text_bytes
+from cadence.llm._shared import Scratch, crc32_of_id, free_names, small_batches, text_bytes
 
 SIZES = (3, 4, 5, 6)
 BITS = 18
@@ -29,8 +32,8 @@ WINDOW, STRIDE = 8, 4
 #: Documents of either class that a fit may see, and the characters of all of them together.
 SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1500, 2500, 16_000_000
 THRESHOLD = 0.7
-#: Bytes scored at once; longer texts are scored in parts that overlap by OVERLAP.
-CHUNK, OVERLAP = 250_000, 1_000
+#: Places whose n-grams are held at once, and bytes of short texts that are taken together.
+BLOCK = 250_000
 SPACE = 32
 
 
@@ -46,11 +49,10 @@ FOLD = _fold()
 
 
 @dataclass
-class Bags:
-    """N-grams of a run of texts: hashes and validity by n-gram size and position, and windows."""
+class Windows:
+    """Folded texts with a space around each, and the places and texts of their windows, in order."""
 
-    grams: np.ndarray
-    valid: np.ndarray
+    folded: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     owner: np.ndarray
@@ -62,38 +64,41 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - first, count)
 
 
-def bags(raw: np.ndarray, cuts: list[tuple[int, int, int]], stride: int = STRIDE) -> Bags:
-    """The windows of the parts (owner, start, stop) of ``raw``."""
-    sizes = np.array([b - a for _, a, b in cuts], np.int64)
+def windows_of(raw: np.ndarray, texts: list[tuple[int, int, int]], stride: int = STRIDE) -> Windows:
+    """The windows of whole texts (owner, start, stop) of ``raw``."""
+    sizes = np.array([b - a for _, a, b in texts], np.int64)
     starts = np.cumsum(sizes + 1) - sizes
     x = np.full(int(starts[-1] + sizes[-1]) + 8, SPACE, np.uint8)
-    for (_, a, b), at in zip(cuts, starts.tolist(), strict=True):
+    for (_, a, b), at in zip(texts, starts.tolist(), strict=True):
         x[at : at + b - a] = raw[a:b]
     x = FOLD[x]
-    n = len(x) - 7
     word = x != SPACE
-    wide = x.astype(np.uint32)
-    key = wide[:n] | wide[1 : n + 1] << 8 | wide[2 : n + 2] << 16
-    ok = word[1 : n + 1].copy()
-    grams, valid = np.empty((len(SIZES), n), np.int32), np.empty((len(SIZES), n), bool)
-    for k, size in enumerate(SIZES):
-        if size > 3:
-            key = key * np.uint32(0x85EBCA6B) ^ wide[size - 1 : n + size - 1] * np.uint32(0xC2B2AE35)
-            ok &= word[size - 2 : n + size - 2]
-        h = key * np.uint32(0x9E3779B1)
-        grams[k] = (h ^ h >> 15) * np.uint32(0x2C1B3C6D) >> (32 - BITS)
-        valid[k] = ok
     first = np.flatnonzero(word[1:] & ~word[:-1]) + 1
     part = np.searchsorted(starts, first, side="right") - 1
-    words = np.bincount(part, minlength=len(cuts))
+    words = np.bincount(part, minlength=len(texts))
     low = np.cumsum(words) - words
     per = np.maximum(1, -(-(words - (WINDOW - stride)) // stride)) * (words > 0)
     at = _ranges(np.zeros(len(per), np.int64), per) * stride + np.repeat(low, per)
     stop = np.minimum(at + WINDOW, np.repeat(low + words, per))
-    owner = np.repeat(np.array([o for o, _, _ in cuts], np.int64), per)
     last = np.append(first, 0)
-    ends = np.where(stop < np.repeat(low + words, per), last[stop] - 1, np.repeat(starts + sizes, per))
-    return Bags(grams, valid, first[at] - 1, ends, owner)
+    end = np.where(stop < np.repeat(low + words, per), last[stop] - 1, np.repeat(starts + sizes, per))
+    return Windows(x, first[at] - 1, end, np.repeat(np.array([o for o, _, _ in texts], np.int64), per))
+
+
+def grams(near: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and validity of the n-grams of each size, from the bytes at places and after them.
+
+    Only the first and the last byte may be a space, so an n-gram is part of one word and its ends.
+    """
+    wide = [b.astype(np.uint32) for b in near]
+    key = wide[0] | wide[1] << 8 | wide[2] << 16
+    ok = near[1] != SPACE
+    for size in SIZES:
+        if size > 3:
+            key = key * np.uint32(0x85EBCA6B) ^ wide[size - 1] * np.uint32(0xC2B2AE35)
+            ok = ok & (near[size - 2] != SPACE)
+        h = key * np.uint32(0x9E3779B1)
+        yield ((h ^ h >> 15) * np.uint32(0x2C1B3C6D) >> (32 - BITS)).astype(np.int32), ok
 
 
 @dataclass
@@ -104,46 +109,55 @@ class ToxicityModel:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
-    seed: int = field(default=7, repr=False)
-
-    def windows(self, found: Bags) -> np.ndarray:
-        value = np.zeros(found.grams.shape[1] + 1)
-        count = np.zeros(found.grams.shape[1] + 1)
-        each = np.zeros(found.grams.shape[1], np.float32)
-        for grams, valid in zip(found.grams, found.valid, strict=True):
-            each += self.grams[grams] * valid
-        np.cumsum(each, out=value[1:])
-        np.cumsum(found.valid.sum(0), out=count[1:])
-        total = value[found.end] - value[found.begin]
-        return total / np.maximum(1, count[found.end] - count[found.begin]) + self.bias
-
-    def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+
+    def windows(self, found: Windows, block: int = BLOCK) -> np.ndarray:
+        """The logit of each window; sums run over blocks of places, so texts of any length fit."""
+        x, n = found.folded, len(found.folded) - 7
+        sums = {k: np.zeros((2, len(found.begin))) for k in ("begin", "end")}
+        carry = np.zeros(2)
+        for a in range(0, n, block):
+            b = min(n, a + block)
+            each, count = np.zeros(b - a, np.float32), np.zeros(b - a, np.int8)
+            for gram, ok in grams([x[a + k : b + k] for k in range(max(SIZES))]):
+                each += self.grams[gram] * ok
+                count += ok
+            run = np.zeros((2, b - a + 1))
+            np.cumsum(each, out=run[0, 1:])
+            np.cumsum(count, out=run[1, 1:])
+            run += carry[:, None]
+            for k, places in (("begin", found.begin), ("end", found.end)):
+                here = slice(*np.searchsorted(places, (a, b + (b == n))))
+                sums[k][:, here] = run[:, places[here] - a]
+            carry = run[:, -1].copy()
+        total = sums["end"] - sums["begin"]
+        return total[0] / np.maximum(1, total[1]) + self.bias
+
+    def logits(self, raw: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """The logit of the most toxic window of each text; of no window, the bias or less."""
         out = np.full(len(offsets) - 1, min(self.bias, -10.0))
-        group: list[tuple[int, int, int]] = []
-        size = 0
-
-        def flush() -> None:
-            if group:
-                found = bags(raw, group)
-                np.maximum.at(out, found.owner, self.windows(found))
-
-        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            while a < b:
-                stop = min(b, a + CHUNK)
-                if size + stop - a > CHUNK:
-                    flush()
-                    group, size = [], 0
-                group.append((k, a, stop))
-                size += stop - a
-                a = stop if stop == b else stop - OVERLAP
-        flush()
+        for group in _groups(offsets, block):
+            found = windows_of(raw, group)
+            np.maximum.at(out, found.owner, self.windows(found, block))
         return out
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(raw, offsets) + self.shift, -50, 50)))
 
 
+def _groups(offsets: np.ndarray, most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Texts that are not empty as (number, start, stop), in runs of about so many bytes."""
+    group, size = [], 0
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        if group and size + b - a > most:
+            yield group
+            group, size = [], 0
+        if b > a:
+            group.append((k, a, b))
+            size += b - a
+    if group:
+        yield group
+
+
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [x.encode() for x in texts]
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
@@ -152,7 +166,7 @@ def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _fit_windows(model: tuple[np.ndarray, np.ndarray], rows: list[np.ndarray], target: np.ndarray, epochs: int, rng: np.random.Generator, rate: float = 0.3) -> None:
     """Adagrad on the vectors and the softmax over bags of n-grams, in place."""
     vectors, weights = model
-    dims = vectors.shape[1] - 1
+    dims = vectors.shape[1]
     squares = np.full((len(vectors), 1), 1e-6, np.float32)
     squares_w = np.full_like(weights, 1e-6)
     balance = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum())) * len(target)
@@ -162,7 +176,7 @@ def _fit_windows(model: tuple[np.ndarray, np.ndarray], rows: list[np.ndarray], t
             pick = order[at : at + 128]
             sizes = np.array([len(rows[k]) for k in pick])
             flat = np.concatenate([rows[k] for k in pick])
-            mean = np.add.reduceat(vectors[flat, :dims], np.cumsum(sizes) - sizes) / sizes[:, None]
+            mean = np.add.reduceat(vectors[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
             hidden = np.hstack([mean, np.ones((len(pick), 1), np.float32)])
             odds = hidden @ weights
             odds = np.exp(odds - odds.max(1, keepdims=True))
@@ -174,54 +188,51 @@ def _fit_windows(model: tuple[np.ndarray, np.ndarray], rows: list[np.ndarray], t
             squares_w += grad_w**2
             weights -= rate * grad_w / np.sqrt(squares_w)
             sort = np.argsort(flat, kind="stable")
-            ids, starts = np.unique(flat[sort], return_index=True)
-            grad = np.add.reduceat(np.repeat(back / sizes[:, None], sizes, axis=0)[sort], starts)
+            ordered = flat[sort]
+            starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            ids = ordered[starts]
+            grad = np.add.reduceat((back / sizes[:, None].astype(np.float32))[np.repeat(np.arange(len(pick)), sizes)[sort]], starts)
             squares[ids] += (grad**2).mean(1, keepdims=True)
-            vectors[ids, :dims] -= rate * grad / np.sqrt(squares[ids]) + 1e-4 * vectors[ids, :dims]
+            now = vectors[ids]
+            vectors[ids] = now - rate * grad / np.sqrt(squares[ids]) - 1e-4 * now
 
 
 def fit(texts: list[str], labels: list[int], *, dims: int = 8, rounds: int = 3, seed: int = 7) -> ToxicityModel:
-    """Fit a model on whole texts with labels 0 or 1; with one class only, scores are constant."""
+    """Fit a model, not calibrated yet, on whole texts with labels 0 or 1; one class gives constant scores."""
     rng = np.random.default_rng(seed)
-    once = list(dict(zip(texts, labels, strict=True)).items())
-    target = np.array([y for _, y in once], np.int64)
-    if not len(target) or target.min() == target.max():
-        level = 4.0 if len(target) and target[0] == 1 else -4.0
+    target = np.array(labels, np.int64)
+    raw, offsets = _flat(texts)
+    if not len(target) or target.min() == target.max() or not len(raw):
+        level = 4.0 if len(target) and target.min() == 1 else -4.0
         return ToxicityModel(np.zeros(1 << BITS, np.float32), level, 0.0, level)
-    raw, offsets = _flat([x for x, _ in once])
-    held = np.arange(len(once)) % 5 == 4
-    if min(np.bincount(target[held], minlength=2)) < 5:
-        held[:] = False
-    cuts = [(k, int(offsets[k]), int(offsets[k + 1])) for k in range(len(once)) if not held[k] and offsets[k + 1] > offsets[k]]
-    groups = _groups(raw, cuts)
-    owner = np.concatenate([g.owner for g in groups])
-    bounds = np.cumsum([0, *(len(g.owner) for g in groups)])
-    toxic = target[owner] == 1
-    model = (rng.normal(0, 0.1, (1 << BITS, dims + 1)).astype(np.float32), rng.normal(0, 0.1, (dims + 1, 2)))
+    found = windows_of(raw, [x for group in _groups(offsets, len(raw)) for x in group])
+    toxic = target[found.owner] == 1
+    model = (rng.normal(0, 0.1, (1 << BITS, dims)).astype(np.float32), rng.normal(0, 0.1, (dims + 1, 2)))
 
     def linear() -> ToxicityModel:
         vectors, weights = model
         difference = weights[:, 1] - weights[:, 0]
-        return ToxicityModel((vectors[:, :dims] @ difference[:dims]).astype(np.float32), float(difference[dims]))
+        return ToxicityModel((vectors @ difference[:dims]).astype(np.float32), float(difference[dims]))
 
     def rows(picked: np.ndarray) -> list[np.ndarray]:
+        width = found.end[picked] - found.begin[picked]
+        places = _ranges(found.begin[picked], width)
+        both = list(grams([found.folded[places + k] for k in range(max(SIZES))]))
+        cuts = np.cumsum(width)
         out = []
-        for k, at in zip(picked, np.searchsorted(bounds, picked, side="right") - 1, strict=True):
-            found = groups[at]
-            a, b = found.begin[k - bounds[at]], found.end[k - bounds[at]]
-            grams = found.grams[:, a:b][found.valid[:, a:b]]
-            out.append(grams if len(grams) else np.zeros(1, np.int32))
+        for a, b in zip(cuts - width, cuts, strict=True):
+            some = np.concatenate([gram[a:b][ok[a:b]] for gram, ok in both])
+            out.append(some if len(some) else np.zeros(1, np.int32))
         return out
 
     at_toxic, at_other = np.flatnonzero(toxic), np.flatnonzero(~toxic)
     for k in range(rounds + 1):
         if k:
-            now = linear()
-            logit = np.concatenate([now.windows(g) for g in groups])
-            best = np.full(len(once), -np.inf)
-            np.maximum.at(best, owner, logit)
-            keep = at_toxic[logit[at_toxic] >= np.maximum(best[owner[at_toxic]] - 1e-9, 2.0 if k > 1 else np.inf)]
-            keep = np.union1d(keep, at_toxic[logit[at_toxic] >= best[owner[at_toxic]] - 1e-9])
+            logit = linear().windows(found)
+            best = np.full(len(target), -np.inf)
+            np.maximum.at(best, found.owner, logit)
+            keep = at_toxic[logit[at_toxic] >= np.maximum(best[found.owner[at_toxic]] - 1e-9, 2.0 if k > 1 else np.inf)]
+            keep = np.union1d(keep, at_toxic[logit[at_toxic] >= best[found.owner[at_toxic]] - 1e-9])
             hard = at_other[np.argsort(-logit[at_other], kind="stable")[: 2 * len(keep) + 500]]
             plain = rng.choice(at_other, min(len(at_other), 2 * len(keep) + 2000), replace=False)
             others = np.union1d(hard, plain)
@@ -230,44 +241,63 @@ def fit(texts: list[str], labels: list[int], *, dims: int = 8, rounds: int = 3,
             others = rng.choice(at_other, min(len(at_other), 12_000), replace=False)
         picked = np.concatenate([keep, others])
         _fit_windows(model, rows(picked), np.repeat([1, 0], [len(keep), len(others)]), 3, rng)
-    fitted = linear()
-    which = held if held.any() else ~held
-    logit = fitted.logits(raw, offsets)[which]
-    fitted.slope, fitted.shift = _calibrate(logit, target[which])
-    return fitted
-
-
-def _groups(raw: np.ndarray, cuts: list[tuple[int, int, int]]) -> list[Bags]:
-    """The windows of the parts, a chunk of text at a time."""
-    out, group, size = [], [], 0
-    for cut in cuts:
-        if group and size + cut[2] - cut[1] > CHUNK:
-            out.append(bags(raw, group))
-            group, size = [], 0
-        group.append(cut)
-        size += cut[2] - cut[1]
-    return [*out, bags(raw, group)]
+    return linear()
 
 
-def _calibrate(logit: np.ndarray, target: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve with smoothed targets, by Newton's method with backtracking."""
-    n1, n0 = (target == 1).sum(), (target == 0).sum()
-    want = np.where(target == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.column_stack([logit, np.ones_like(logit)])
-    theta = np.array([1.0, 0.0])
+def calibration(logit: np.ndarray, target: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve for logits of texts that the fit did not see.
+
+    Logits are brought to one scale first, so the penalty, which keeps the slope finite where the
+    classes are apart, means the same for every model; the curve then turns between the classes.
+    """
+    if not len(target) or target.min() == target.max():
+        return 1.0, 0.0
+    middle, scale = np.median(logit), max(1e-9, float(np.std(logit)))
+    x = np.column_stack([(logit - middle) / scale, np.ones_like(logit)])
+    theta, weak = np.array([1.0, 0.0]), np.array([1e-2, 1e-4])
 
     def loss(at: np.ndarray) -> float:
         z = x @ at
-        return float((np.logaddexp(0, z) - want * z).sum() + 0.5 * ((at - [1.0, 0.0]) ** 2).sum())
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * (weak * at**2).sum())
 
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve(x.T @ (x * w[:, None]) + np.eye(2), x.T @ (p - want) + (theta - [1.0, 0.0]))
+        w = np.maximum(p * (1 - p), 1e-9)
+        step = np.linalg.solve(x.T @ (x * w[:, None]) + np.diag(weak), x.T @ (p - target) + weak * theta)
         while loss(theta - step) > loss(theta) and np.abs(step).max() > 1e-9:
             step = step / 2
         theta = theta - step
-    return float(max(theta[0], 1e-3)), float(theta[1])
+        if np.abs(step).max() < 1e-9:
+            break
+    slope = max(theta[0], 1e-3)
+    return float(slope / scale), float(theta[1] - slope * middle / scale)
+
+
+#: Fits by number: on everything, on the first half, on the second half.
+WHOLE, HALVES = 0, (1, 2)
+
+
+def _fitted(sample: DataFrame) -> DataFrame:
+    """which, model, logits and targets of the texts left out, from (which, inside, id, text, toxic).
+
+    A task fits each of the numbers it holds; the sample is bounded, and so is the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for which, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known.setdefault(which, []).append(tuple(row))
+        for which, rows in sorted(known.items()):
+            rows.sort(key=lambda r: (r[1], r[2]))
+            inside = [r for r in rows if r[0]]
+            model = fit([r[2] for r in inside], [r[3] for r in inside])
+            out = [r for r in rows if not r[0]]
+            logits = model.logits(*_flat([r[2] for r in out]))
+            columns = [pa.array([which], pa.int32())] + [pa.array([x], pa.binary()) for x in (pickle.dumps(model), logits.astype("<f8").tobytes(), np.array([r[3] for r in out], "<i8").tobytes())]
+            yield pa.RecordBatch.from_arrays(columns, names=["which", "model", "logits", "targets"])
+
+    return sample.select("which", "inside", "id", "text", "toxic").mapInArrow(run, "which int, model binary, logits binary, targets binary")
 
 
 def fit_on(
@@ -285,37 +315,58 @@ def fit_on(
     class has its share of ``sample_chars``; a piece from a hashed place in the text that passes the
     share fills it up.  Labels other than 0 and 1, null ids and null texts take no part.
     """
+    chosen = sampled(spark, docs, labels, sample_toxic, sample_other, sample_chars)
+    if chosen is None:
+        return fit([], [])
+    every = F.explode(F.array(*(F.struct(F.lit(k).alias("which"), ((F.lit(k) == WHOLE) | (F.col("half") == k)).alias("inside")) for k in (WHOLE, *HALVES)))).alias("f")
+    rows = chosen.select("id", "text", "toxic", every).select("f.*", "id", "text", "toxic")
+    found = {r["which"]: r for r in _fitted(rows.repartitionByRange(1 + len(HALVES), "which")).collect()}
+    if WHOLE not in found:
+        return fit([], [])
+    model = pickle.loads(found[WHOLE]["model"])
+    logits, targets = (np.concatenate([np.frombuffer(found[k][c], t) for k in HALVES if k in found]) for c, t in (("logits", "<f8"), ("targets", "<i8")))
+    if model.grams.any():
+        model.slope, model.shift = calibration(logits, targets)
+    return model
+
+
+def sampled(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_other: int, sample_chars: int) -> DataFrame | None:
+    """id, text, toxic and half of the sample of ``fit_on``; none if there is no labelled text."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.filter("doc_id is not null and toxic in (0, 1)").filter(F.pmod(crc32_of_id("doc_id"), F.lit(3)) != 1)
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n")).filter("n > 0")
     known = usable.join(known.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id").withColumn("at", F.xxhash64("doc_id"))
-    picked: list[tuple[int, int, int, int]] = []
+    scratch = Scratch(spark, "toxicity")
+    known = scratch.write(known, "known")
+    picked: list[tuple[int, int, int, int, int]] = []
     for label, bound in ((1, sample_toxic), (0, sample_other)):
         left = sample_chars * bound // (sample_toxic + sample_other)
-        for r in known.filter(F.col("toxic") == label).orderBy("at", "doc_id").limit(bound).collect():
+        for k, r in enumerate(known.filter(F.col("toxic") == label).orderBy("at", "doc_id").limit(bound).collect()):
             if left <= 0:
                 break
             size = min(r["n"], left)
-            picked.append((r["doc_id"], label, r["at"] % (r["n"] - size + 1), size))
+            picked.append((r["doc_id"], label, r["at"] % (r["n"] - size + 1), size, HALVES[k % 2]))
             left -= size
+    scratch.drop("known")
     if not picked:
-        return fit([], [])
-    chosen = spark.createDataFrame(sorted(picked), "id long, toxic int, skipped long, size long")
+        return None
+    chosen = spark.createDataFrame(sorted(picked), "id long, toxic int, skipped long, size long, half int")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
     part = F.substring("text", (F.col("skipped") + 1).cast("int"), F.col("size").cast("int"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "toxic", part.alias("text")).filter(F.length("text") > 0).collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    return texts.join(F.broadcast(chosen), "id").select("id", part.alias("text"), "toxic", "half").filter(F.length("text") > 0)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", into: str = "toxic_score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 for each whole text; null and empty texts get the lowest."""
+    """``docs`` with a score from 0 to 1 for each whole text; null and empty texts get the lowest.
+
+    A column that is called ``into`` already raises, since it would be lost.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text)
-    if into in names:
+    if into.lower() in {n.lower() for n in names}:
         raise ValueError(f"the table has a column {into} already; name another one")
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
 
@@ -337,4 +388,5 @@ def classified(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataF
 
 def keep_civil(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their own columns."""
-    return score(docs, fit_on(spark, docs, labels), into="_toxic_score").filter(F.col("_toxic_score") < threshold).drop("_toxic_score")
+    (into,) = free_names(docs, "toxic_score")
+    return score(docs, fit_on(spark, docs, labels), into=into).filter(F.col(into) < threshold).drop(into)

@@ -69,26 +69,68 @@ def test_toxicity_of_held_out_rows_and_misspellings(spark, toxic_rows):
 def test_long_texts_score_as_their_parts(toxic_rows):
     rows, labels = toxic_rows
     model = toxicity.fit([r[1] for r in rows], [t for *_, t in labels])
-    long = " ".join(r[1] for r in rows[1:4]) * 3000 + " grobnik plemfart"
-    raw, offsets = toxicity._flat([long, "the of and"])
-    assert len(long) > 2 * toxicity.CHUNK
-    scores = model.scores(raw, offsets)
-    assert scores[0] > 0.7 > scores[1]
+    long = " ".join(r[1] for r in rows[1:4]) * 300 + " grobnik plemfart"
+    raw, offsets = toxicity._flat([long, "the of and", "ß" * 3000 + " grobnik", "", "x"])
+    whole = model.logits(raw, offsets, 1 << 30)
+    for block in (64, 1_000, toxicity.BLOCK):
+        assert np.allclose(model.logits(raw, offsets, block), whole, rtol=0, atol=1e-9)
+    assert whole[0] > whole[1]
     constant = toxicity.fit(["a", "b"], [0, 0])
     assert constant.scores(*toxicity._flat(["a", ""])).max() < 0.5
 
 
-def test_long_labelled_texts_take_part_and_the_sample_is_bounded(spark, toxic_rows, monkeypatch):
+def test_scores_equal_a_plain_version(toxic_rows):
+    rows, labels = toxic_rows
+    model = toxicity.fit([r[1] for r in rows[:80]], [t for *_, t in labels[:80]])
+
+    def plain(text):
+        words = toxicity.FOLD[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
+        best = min(model.bias, -10.0)
+        for at in range(0, max(1, len(words) - 4), 4):
+            total = n = 0
+            for word in words[at : at + 8]:
+                padded = b" " + word + b" "
+                for size in toxicity.SIZES:
+                    for k in range(len(padded) - size + 1):
+                        near = [np.array([padded[k + j] if j < size else 32], np.uint8) for j in range(6)]
+                        total += float(model.grams[list(toxicity.grams(near))[toxicity.SIZES.index(size)][0][0]])
+                        n += 1
+            best = max(best, total / max(1, n) + model.bias) if words else best
+        return best
+
+    texts = [rows[k][1] for k in range(12)] + ["", "a", "ab cd", "One, two; three!"]
+    assert np.allclose(model.logits(*toxicity._flat(texts)), [plain(x) for x in texts], atol=1e-5)
+
+
+def test_calibration_puts_the_threshold_between_classes_that_are_apart():
+    rng = np.random.default_rng(3)
+    for scale in (0.1, 1.0, 30.0):
+        logit = scale * np.concatenate([rng.uniform(-12, -3, 300), rng.uniform(3, 12, 40)])
+        target = np.repeat([0, 1], [300, 40])
+        slope, shift = toxicity.calibration(logit, target)
+        p = 1 / (1 + np.exp(-(slope * logit + shift)))
+        assert p[target == 1].min() > toxicity.THRESHOLD > p[target == 0].max()
+    assert toxicity.calibration(np.zeros(3), np.zeros(3)) == (1.0, 0.0)
+
+
+def test_long_labelled_texts_take_part_and_the_sample_is_bounded(spark, toxic_rows):
     rows, labels = toxic_rows
     long = [(k, " ".join([x, *[r[1] for r in rows if r[0] % 4][k % 7 * 30 : k % 7 * 30 + 90]])) for k, x, *_ in rows[:80]]
     assert min(len(x) for _, x in long) > 12_000
     table = spark.createDataFrame(long, "doc_id long, text string")
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, targets: seen.append((texts, targets)))
-    toxicity.fit_on(spark, table, marks)
-    texts, targets = seen.pop()
-    assert len(texts) > 40 and set(targets) == {0, 1} and set(texts) <= {x for _, x in long}
-    toxicity.fit_on(spark, table, marks, sample_chars=100_000)
-    texts, targets = seen.pop()
-    assert set(targets) == {0, 1} and sum(map(len, texts)) == 100_000
+    whole = toxicity.sampled(spark, table, marks, 1500, 2500, 16_000_000).collect()
+    assert len(whole) > 40 and {r["toxic"] for r in whole} == {0, 1} and {r["text"] for r in whole} <= {x for _, x in long}
+    assert {r["half"] for r in whole} == set(toxicity.HALVES)
+    part = toxicity.sampled(spark, table, marks, 1500, 2500, 100_000).collect()
+    assert {r["toxic"] for r in part} == {0, 1} and sum(len(r["text"]) for r in part) == 100_000
+
+
+def test_clashing_and_repeated_rows_are_kept(spark, toxic_rows):
+    rows, labels = toxic_rows
+    table = spark.createDataFrame([(*r[:2], 1.0, 2.0) for r in [*rows[:60], rows[0]]], "doc_id long, text string, toxic_score double, _toxic_score double")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    civil = toxicity.keep_civil(spark, table, marks)
+    assert civil.columns == table.columns
+    assert {(r["toxic_score"], r["_toxic_score"]) for r in civil.collect()} == {(1.0, 2.0)}
+    assert toxicity.classified(spark, table.limit(0), marks).collect() == []
