@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadence.llm._shared import Scratch, small_batches
+from cadence.llm._shared import Scratch, free_names, small_batches
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,17 @@ def _candidates(lines: list[str], how: Rule) -> list[tuple[int, int]]:
     return [(a, b) for a, b in chunks(lines, how) if _removable(lines, a, b, how)]
 
 
-CHUNK = "row long, first int, stop int, high long, low long"
+#: A document is its id and a hash of its text, so rows that repeat an id don't share what they lose.
+KEY = ["row", "mark"]
+CHUNK = "row long, mark long, first int, stop int, high long, low long"
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """row, mark and text of documents that have an id and a text."""
+    body = F.col("text").cast("string")
+    found = docs.select(F.col(key).cast("long").alias("row"), F.xxhash64(body).alias("mark"), body.alias("text"))
+    return found.filter("row is not null and length(text) > 0")
 
 
 def _digest(body: str) -> tuple[int, int]:
@@ -124,78 +134,75 @@ def _digest(body: str) -> tuple[int, int]:
     return int(raw[0]), int(raw[1])
 
 
-def chunk_table(keyed: DataFrame, how: Rule) -> DataFrame:
-    """The candidates of each text (row, text): first line, end, and 128-bit hash."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+def _batch(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["row", "first", "stop", "high", "low"])
+
+def chunk_table(documents: DataFrame, how: Rule) -> DataFrame:
+    """The candidates of each text (row, mark, text): first line, end, and 128-bit hash."""
+    names = [*KEY, "first", "stop", "high", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2_000_000):
             rows = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = (text or "").split("\n")
+            for row, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = text.split("\n")
                 for a, b in _candidates(lines, how):
-                    rows.append((row, a, b, *_digest("\n".join(lines[a:b]))))
+                    rows.append((row, mark, a, b, *_digest("\n".join(lines[a:b]))))
                     if len(rows) >= ROWS:
-                        yield batch_of(rows)
+                        yield _batch(rows, _KINDS, names)
                         rows = []
-            yield batch_of(rows)
+            yield _batch(rows, _KINDS, names)
 
-    return keyed.select("row", "text").mapInArrow(run, CHUNK)
+    return documents.select(*KEY, "text").mapInArrow(run, CHUNK)
 
 
 def chunk_texts(with_chunks: DataFrame) -> DataFrame:
     """The bytes of the listed candidates (array of first, stop, high, low, own) of each text."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    names = ["row", "first", "stop", "high", "low", "own", "body"]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+    kinds, names = (*_KINDS, pa.bool_(), pa.binary()), [*KEY, "first", "stop", "high", "low", "own", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2_000_000):
             rows, size = [], 0
-            for row, text, some in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                lines = (text or "").split("\n")
+            for row, mark, text, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = text.split("\n")
                 for x in some:
                     body = "\n".join(lines[x["first"] : x["stop"]]).encode()
-                    rows.append((row, x["first"], x["stop"], x["high"], x["low"], x["own"], body))
+                    rows.append((row, mark, x["first"], x["stop"], x["high"], x["low"], x["own"], body))
                     size += len(body)
                     if size >= BODIES or len(rows) >= ROWS:
-                        yield batch_of(rows)
+                        yield _batch(rows, kinds, names)
                         rows, size = [], 0
-            yield batch_of(rows)
+            yield _batch(rows, kinds, names)
 
-    return with_chunks.select("row", "text", "some").mapInArrow(run, f"{CHUNK}, own boolean, body binary")
+    return with_chunks.select(*KEY, "text", "some").mapInArrow(run, f"{CHUNK}, own boolean, body binary")
 
 
-def repeats(scratch: Scratch, keyed: DataFrame, how: Rule) -> DataFrame:
-    """_row, _some (array of first, stop, high, low, own): the candidates whose hash occurs again.
+def repeats(scratch: Scratch, documents: DataFrame, how: Rule) -> DataFrame:
+    """row, mark, some (array of first, stop, high, low, own): the candidates whose hash occurs again.
 
-    The first occurrence, marked as own, is that with the smallest (row, first line); a candidate of
-    the same text that overlaps it is left out.
+    The first occurrence, marked as own, is that with the smallest (row, mark, first line); a
+    candidate of the same text that overlaps it is left out.  Rows that repeat a document are one.
     """
-    found = scratch.write(chunk_table(keyed, how), "chunks")
-    first = F.min(F.struct("row", "first")).alias("at")
+    found = scratch.write(chunk_table(documents, how), "chunks")
+    first = F.min(F.struct(*KEY, "first")).alias("at")
     owners = found.groupBy("high", "low").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    owners = scratch.write(owners.select("high", "low", F.col("at.row").alias("owner"), F.col("at.first").alias("owner_first")), "owners")
-    own = (F.col("row") == F.col("owner")) & (F.col("first") == F.col("owner_first"))
-    apart = (F.col("row") != F.col("owner")) | (F.col("first") - F.col("owner_first") >= F.col("stop") - F.col("first"))
+    owners = scratch.write(owners.select("high", "low", F.col("at.row").alias("owner"), F.col("at.mark").alias("owner_mark"), F.col("at.first").alias("owner_first")), "owners")
+    same = (F.col("row") == F.col("owner")) & (F.col("mark") == F.col("owner_mark"))
+    own = same & (F.col("first") == F.col("owner_first"))
+    apart = ~same | (F.col("first") - F.col("owner_first") >= F.col("stop") - F.col("first"))
     repeated = found.join(owners, ["high", "low"]).filter(own | apart)
-    return repeated.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("first", "stop", "high", "low", own.alias("own")))).alias("_some"))
+    return repeated.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("first", "stop", "high", "low", own.alias("own")))).alias("some"))
 
 
 def unlike(scratch: Scratch, listed: DataFrame) -> DataFrame:
-    """_row, _unlike (array of first, stop): listed candidates with other bytes than the first of their hash."""
+    """row, mark, unlike (array of first, stop): listed candidates with other bytes than the first of their hash."""
     bodies = scratch.write(chunk_texts(listed), "bodies")
     originals = bodies.filter("own").select("high", "low", F.col("body").alias("original")).distinct()
-    other = bodies.filter("not own").join(originals, ["high", "low"], "left").groupBy("row", "first", "stop").agg(F.max(F.coalesce(F.col("body") == F.col("original"), F.lit(False))).alias("same"))
-    other = other.filter("not same").groupBy(F.col("row").alias("_row"))
-    out = scratch.write(other.agg(F.collect_list(F.struct("first", "stop")).alias("_unlike")), "unlike")
+    other = bodies.filter("not own").join(originals, ["high", "low"], "left").groupBy(*KEY, "first", "stop").agg(F.max(F.coalesce(F.col("body") == F.col("original"), F.lit(False))).alias("same"))
+    other = other.filter("not same").groupBy(*KEY)
+    out = scratch.write(other.agg(F.collect_list(F.struct("first", "stop")).alias("unlike")), "unlike")
     scratch.drop("chunks", "owners", "bodies")
     return out
 
@@ -224,29 +231,41 @@ def _without(text: str | None, cut: list[tuple[int, int]]) -> str | None:
     return "\n".join(out + lines[done:])
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, *, how: Rule = Passages(), key: str = "doc_id") -> DataFrame:
-    """``docs`` with _n_lines, _n_removed and the text without repeated passages.
+def deduplicated(spark: SparkSession, docs: DataFrame, *, how: Rule = Passages(), key: str = "doc_id", added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the numbers of lines and of removed lines, and the text without repeated passages.
 
-    Rows are ordered by the key, a long.  Rows with a null key are kept as they are; a null text
-    stays null, an empty one is one empty line, and neither has passages.  Rows that repeat a key
-    are the same document read twice: a passage counts as earlier only within or before its document.
+    ``added`` names the two numbers; no column of ``docs`` may be called so.  Documents are ordered by
+    the key, a long, and rows that repeat a key by a hash of their text.  Rows with the same key and
+    text are one document read twice: both lose what it loses, and neither is an earlier occurrence
+    for the other.  Rows with a null key are kept as they are; a null text stays null, an empty one
+    is one empty line, and neither has passages.
 
     Texts move once, to their candidates; the bytes are compared there, and only candidates that turn
     out unlike (equal hashes of different bytes) are joined afterwards.
     """
+    if free_names(docs, *added) != list(added):
+        raise ValueError(f"the table has a column of {', '.join(added)} already; name others")
     scratch = Scratch(spark, "lines")
-    keyed = docs.select(F.col(key).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
-    some = repeats(scratch, keyed.filter("row is not null and length(text) > 0"), how)
-    joined = docs.join(some, F.col(key).cast("long") == F.col("_row"), "left").select(*docs.columns, "_some")
-    joined = scratch.write(joined, "texts")
-    listed = joined.filter("_some is not null").select(F.col(key).cast("long").alias("row"), F.col("text").cast("string").alias("text"), F.col("_some").alias("some"))
+    names = docs.columns
+    inner = free_names(docs, "row", "mark", "some", "unlike")
+    row, mark, some, other = inner
+    own_key = F.col(key).cast("long")
+
+    def renamed(found: DataFrame, what: str, into: str) -> DataFrame:
+        return found.select(F.col("row").alias(row), F.col("mark").alias(mark), F.col(what).alias(into))
+
+    found = repeats(scratch, keyed(docs, key), how)
+    marked = docs.withColumns({row: own_key, mark: F.xxhash64(F.col("text").cast("string"))})
+    joined = scratch.write(marked.join(renamed(found, "some", some), [row, mark], "left").select(*names, row, mark, some), "texts")
+    listed = joined.filter(F.col(some).isNotNull()).select(F.col(row).alias("row"), F.col(mark).alias("mark"), F.col("text").cast("string").alias("text"), F.col(some).alias("some"))
     wrong = unlike(scratch, listed)
     if wrong.isEmpty():
-        joined = joined.withColumn("_unlike", F.lit(None).cast(wrong.schema["_unlike"].dataType))
+        joined = joined.withColumn(other, F.lit(None).cast(wrong.schema["unlike"].dataType))
     else:
-        joined = joined.join(wrong, F.col(key).cast("long") == F.col("_row"), "left").drop("_row")
-    at, names = docs.columns.index("text"), docs.columns
-    added = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())]
+        joined = joined.join(renamed(wrong, "unlike", other), [row, mark], "left")
+    joined = joined.select(*names, some, other)
+    at = names.index("text")
+    fields = [T.StructField(n, T.LongType()) for n in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2_000_000):
@@ -256,9 +275,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, *, how: Rule = Passages()
             columns[at] = pa.array([_without(x, c) for x, c in zip(texts, cuts, strict=True)], columns[at].type)
             n_lines = pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())
             n_removed = pa.array([sum(b - a for a, b in c) for c in cuts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, n_lines, n_removed], names=[*names, "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, n_lines, n_removed], names=[*names, *added])
 
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def report(spark: SparkSession, docs: DataFrame, *, how: Rule = Chunking()) -> DataFrame:
@@ -267,8 +286,8 @@ def report(spark: SparkSession, docs: DataFrame, *, how: Rule = Chunking()) -> D
     kept = F.coalesce("text", F.lit(""))
     return found.select(
         "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_removed").alias("n_removed"),
+        "n_lines",
+        "n_removed",
         F.length(kept).cast("long").alias("kept_chars"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )
@@ -276,8 +295,10 @@ def report(spark: SparkSession, docs: DataFrame, *, how: Rule = Chunking()) -> D
 
 def thinned(spark: SparkSession, docs: DataFrame, *, how: Rule = Passages()) -> DataFrame:
     """``docs`` with the texts shortened, n_chars following; rows whose text is all repeats go."""
-    found = deduplicated(spark, docs, how=how)
+    added = free_names(docs, "n_lines", "n_removed")
+    found = deduplicated(spark, docs, how=how, added=(added[0], added[1]))
+    removed = F.col(added[1])
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return found.filter((F.col("_n_removed") == 0) | (F.length("text") > 0)).select(*docs.columns)
+        found = found.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return found.filter((removed == 0) | (F.length("text") > 0)).select(*docs.columns)

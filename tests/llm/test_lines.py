@@ -109,8 +109,30 @@ def test_long_blank_runs_list_few_passages():
 def test_equal_hashes_of_other_bytes_stay(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(lines, "repeats", lambda scratch, keyed, how: spark.createDataFrame(
-            [(1, [(0, 2, 5, 5, True)]), (2, [(0, 2, 5, 5, False), (2, 4, 5, 5, False)])],
-            "_row long, _some array<struct<first:int,stop:int,high:long,low:long,own:boolean>>"))
+            [(1, "a\nb", [(0, 2, 5, 5, True)]), (2, "c\nd\na\nb", [(0, 2, 5, 5, False), (2, 4, 5, 5, False)])],
+            "row long, text string, some array<struct<first:int,stop:int,high:long,low:long,own:boolean>>").selectExpr("row", "xxhash64(text) AS mark", "some"))
         table = spark.createDataFrame([(1, "a\nb"), (2, "c\nd\na\nb"), (3, None)], "doc_id long, text string")
         got = {r["doc_id"]: r["text"] for r in lines.deduplicated(spark, table).collect()}
     assert got == {1: "a\nb", 2: "c\nd", 3: None}
+
+
+def test_rows_that_repeat_an_id_are_told_apart_by_their_texts(spark):
+    t = "\n".join(f"line number {k} of a notice that is repeated" for k in range(12))
+    u = "\n".join(f"unique line {k} of another text altogether" for k in range(12))
+    schema = "doc_id long, text string"
+    got = lines.report(spark, spark.createDataFrame([(1, t), (1, t), (2, t)], schema)).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_removed"]) for r in got) == [(1, 12, 0), (1, 12, 0), (2, 12, 12)]
+    kept = lines.thinned(spark, spark.createDataFrame([(1, t), (2, t), (2, u), (3, t + "\n" + u)], schema)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, t), (2, u)]
+    many = spark.createDataFrame([(k % 3, t) for k in range(60)], schema)
+    got = lines.report(spark, many).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(0, 0)] * 20 + [(1, 12)] * 20 + [(2, 12)] * 20
+
+
+def test_columns_of_any_name_are_kept(spark):
+    t = "\n".join(f"line number {k} of a notice that is repeated" for k in range(4))
+    extra = ["_n_lines", "n_lines", "N_REMOVED", "row", "_row", "mark", "some", "_some", "unlike", "_cut"]
+    table = spark.createDataFrame([(k, t + f"\nown end of text number {k}", *range(len(extra))) for k in range(3)], ["doc_id", "text", *extra])
+    got = lines.thinned(spark, table)
+    assert got.columns == table.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(k, t + "\nown end of text number 0" if not k else f"own end of text number {k}", *range(len(extra))) for k in range(3)]
