@@ -1,8 +1,8 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification, union-find.
 
-1. Texts with the same shingle set are one class, which its smallest id represents.
-2. Representatives that share the key of a band share a bucket.  Each is compared with the smallest
-   id of its buckets on full sets, and confirmed links form components.
+1. Texts with the same shingle set are one class, which its first document represents.
+2. Classes that share the key of a band share a bucket.  Each is compared with the first one of its
+   buckets on full sets, and confirmed links form components.
 3. In a bucket whose other members are still in different components, members with a similar sketch
    in another component are compared with each other, in blocks, again on full sets.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm._shared import Scratch, partitions, small_batches, text_bytes
+from cadence.llm._shared import Scratch, free_names, partitions, small_batches, text_bytes
 from cadence.llm.components import Forest, components
 from cadence.llm.minhash import band_keys, shingle_sets, signatures, sketches, word_hashes
 
@@ -47,54 +47,64 @@ class Similarity:
 
 
 TRIPLES = Similarity(words=3, hundredths=85, bands=25, rows=5)
-_SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, mark long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary"
+#: What tells classes apart: the size of a shingle set and its 128-bit digest.
+CLASS = ["n_shingles", "d1", "d2"]
 
 
-def _sets(batch: pa.RecordBatch, column: int, words: int) -> list[np.ndarray]:
-    return shingle_sets(*word_hashes(*text_bytes(batch.column(column))), words)
+def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    return shingle_sets(*word_hashes(*text_bytes(column)), words)
 
 
-def signed(docs: DataFrame, how: Similarity) -> DataFrame:
-    """Set size, 128-bit digest of the set, band keys and sketch of every text (doc_id, text)."""
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    first, second = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    d1 = np.array([((x ^ first) * second).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+    d2 = np.array([((x ^ (x >> np.uint64(29))) * first).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+    return d1, d2
+
+
+def signed(documents: DataFrame, how: Similarity) -> DataFrame:
+    """Set size, digest of the set, band keys and sketch of every text (doc_id, mark, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         for batch in small_batches(batches, "text", 1_000_000):
-            sets = _sets(batch, 1, how.words)
+            sets = _sets(batch.column(2), how.words)
             rows = signatures(sets, how.bands * how.rows)
-            d1 = np.array([((x ^ first) * second).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-            d2 = np.array([((x ^ (x >> np.uint64(29))) * first).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
             keys = band_keys(rows, how.rows).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * how.bands), pa.array(keys.reshape(-1)))
-            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(d1), pa.array(d2), bands, pa.array([x.tobytes() for x in sketches(rows)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"])
+            columns = [*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, _digests(sets)), bands, pa.array([x.tobytes() for x in sketches(rows)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "d1", "d2", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    return documents.select("doc_id", "mark", "text").mapInArrow(run, _SIGNED)
 
 
-def set_table(docs: DataFrame, how: Similarity) -> DataFrame:
-    """The sorted shingle hashes of each text (doc_id, text)."""
+def set_table(wanted: DataFrame, how: Similarity) -> DataFrame:
+    """node and its sorted shingle hashes, from texts with the classes they may stand for (text, nodes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1_000_000):
-            sets = _sets(batch, 1, how.words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "shingles"])
+            sets = _sets(batch.column(0), how.words)
+            found = []
+            for x, d1, d2, nodes in zip(sets, *(d.tolist() for d in _digests(sets)), batch.column(1).to_pylist(), strict=True):
+                found += [(n["node"], x.tobytes()) for n in nodes if (n["n_shingles"], n["d1"], n["d2"]) == (len(x), d1, d2)]
+            columns = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return wanted.select("text", "nodes").mapInArrow(run, "node long, shingles binary")
 
 
 def bucket_runs(rows: DataFrame) -> DataFrame:
-    """key, hub, doc_id, edge from (key, doc_id): buckets of two rows or more, by their first id.
+    """key, hub, node, edge from (key, node): buckets of two rows or more, by their first id.
 
     Rows are dealt by ranges of (key, id), so a large bucket is spread over tasks.  Within a task
     the hub is the smallest id; a bucket at the edge of a task may go on in the next one, so its
     rows are marked and come even if they are alone there.
     """
     parts = partitions(rows.sparkSession)
-    dealt = rows.select("key", "doc_id").repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    dealt = rows.select("key", "node").repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "hub", "doc_id", "edge"]
+        names = ["key", "hub", "node", "edge"]
         held: list[tuple[np.ndarray, np.ndarray]] = []
         opening = True
 
@@ -123,17 +133,17 @@ def bucket_runs(rows: DataFrame) -> DataFrame:
         if held:
             yield runs(*(np.concatenate(x) for x in zip(*held, strict=True)), True)
 
-    return dealt.mapInArrow(run, "key long, hub long, doc_id long, edge boolean")
+    return dealt.mapInArrow(run, "key long, hub long, node long, edge boolean")
 
 
 def members(scratch: Scratch, rows: DataFrame) -> DataFrame:
-    """key, hub, doc_id of all buckets of two rows or more (key, doc_id)."""
+    """key, hub, node of all buckets of two rows or more (key, node)."""
     runs = scratch.write(bucket_runs(rows), "runs")
-    whole = runs.filter("not edge").select("key", "hub", "doc_id")
+    whole = runs.filter("not edge").select("key", "hub", "node")
     edges = runs.filter("edge")
     # At most two buckets of each task meet an edge: so few rows whatever the input holds.
     heads = edges.groupBy("key").agg(F.min("hub").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = edges.join(F.broadcast(heads), "key").select("key", F.col("first").alias("hub"), "doc_id")
+    met = edges.join(F.broadcast(heads), "key").select("key", F.col("first").alias("hub"), "node")
     out = scratch.write(whole.unionByName(met), "members")
     scratch.drop("runs")
     return out
@@ -149,7 +159,7 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """The edges (src, dst) of the pairs (hub, doc_id) whose full sets are similar enough."""
+    """The edges (src, dst) of the pairs (hub, node) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,20 +172,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
                     dst.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    own = pairs.join(sets, "doc_id")
-    both = own.join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("other")), "hub")
-    return both.select("hub", "doc_id", "other", "shingles").mapInArrow(run, "src long, dst long")
+    own = pairs.join(sets, "node")
+    both = own.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")), "hub")
+    return both.select("hub", "node", "other", "shingles").mapInArrow(run, "src long, dst long")
 
 
 def open_blocks(unsettled: DataFrame, how: Similarity) -> DataFrame:
-    """key, i, j, doc_id, component: the members of each block that need full sets.
+    """key, i, j, node, component: the members of each block that need full sets.
 
-    ``unsettled`` is (key, doc_id, component, sketch, chunks): a bucket is cut into so many chunks,
+    ``unsettled`` is (key, node, component, sketch, chunks): a bucket is cut into so many chunks,
     and each pair of chunks is a block.
     """
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("other")
-    dealt = unsettled.withColumn("own", chunk).select("key", "doc_id", "component", "sketch", "own", other)
+    dealt = unsettled.withColumn("own", chunk).select("key", "node", "component", "sketch", "own", other)
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     least = how.hundredths / 100 - how.margin
 
@@ -187,16 +197,16 @@ def open_blocks(unsettled: DataFrame, how: Similarity) -> DataFrame:
             same = (sketch[k : k + 64, None, :] == sketch[None, :, :]).mean(2) >= least
             same &= component[k : k + 64, None] != component[None, :]
             needed[k : k + 64] = same.any(1)
-        return group.select(["key", "i", "j", "doc_id", "component"]).filter(pa.array(needed))
+        return group.select(["key", "i", "j", "node", "component"]).filter(pa.array(needed))
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, doc_id long, component long")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, node long, component long")
 
 
 def block_links(blocks: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     """A forest of the confirmed links between components within each block, as edges."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, component = group["doc_id"].to_pylist(), group["component"].to_pylist()
+        ids, component = group["node"].to_pylist(), group["component"].to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
         names, column = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -219,52 +229,76 @@ def block_links(blocks: DataFrame, sets: DataFrame, how: Similarity) -> DataFram
         columns = list(zip(*out, strict=True)) or [[], []]
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["src", "dst"])
 
-    return blocks.join(sets, "doc_id").groupBy("key", "i", "j").applyInArrow(run, "src long, dst long")
+    return blocks.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "src long, dst long")
+
+
+def numbered_classes(scratch: Scratch, usable: DataFrame) -> DataFrame:
+    """Classes with their first document (rep, rep_mark) and a number, node, in the order of these."""
+    first = F.min(F.struct("doc_id", "mark")).alias("rep")
+    classes = usable.groupBy(*CLASS).agg(first).select(*CLASS, F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("rep_mark"))
+    dealt = classes.repartitionByRange(partitions(scratch.spark), "rep", "rep_mark").sortWithinPartitions("rep", "rep_mark")
+    return scratch.write(dealt.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def grouped(spark: SparkSession, docs: DataFrame, how: Similarity) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, mark, n_shingles, component_id, component_mark of every row of ``docs`` (doc_id, text).
 
-    Texts without words, null ones included, are linked with nothing.  Rows with a null doc_id are
-    their own group, with a null component.  Rows that repeat a doc_id share its node.
+    Each row is a document; ``mark`` is a hash of its text.  component_id is the smallest doc_id that
+    links reach, and component_mark the mark of the first document with it.  Rows that repeat a
+    doc_id with other texts are linked by their own texts only.  Texts without words, null ones
+    included, are linked with nothing.  Rows with a null doc_id are their own group, with a null
+    component.
+
+    The nodes of all links are classes of equal sets, numbered in the order of their first documents,
+    so the smallest number of a component leads to its smallest doc_id.
     """
     scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    body = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("text"))
     rows = scratch.write(signed(docs, how), "signed")
     usable = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.write(classes, "classes")
-    reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi")
-    reps = scratch.write(reps.select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]), "reps")
-    found = members(scratch, reps.select(F.explode("bands").alias("key"), "doc_id"))
-    needed = scratch.write(found.select("doc_id").distinct(), "needed")
-    sets = scratch.write(set_table(docs.join(needed, "doc_id", "left_semi"), how).dropDuplicates(["doc_id"]), "sets")
-    pairs = found.filter("doc_id <> hub").select("hub", "doc_id").distinct()
+    classes = numbered_classes(scratch, usable)
+    ends = classes.withColumnsRenamed({"rep": "doc_id", "rep_mark": "mark"})
+    reps = usable.join(ends, ["doc_id", "mark", *CLASS]).select("node", "bands", "sketch").dropDuplicates(["node"])
+    reps = scratch.write(reps, "reps")
+    found = members(scratch, reps.select(F.explode("bands").alias("key"), "node"))
+    needed = ends.join(found.select("node").distinct(), "node", "left_semi")
+    needed = scratch.write(needed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("node", *CLASS)).alias("nodes")), "needed")
+    sets = scratch.write(set_table(docs.join(needed, ["doc_id", "mark"]), how).dropDuplicates(["node"]), "sets")
+    pairs = found.filter("node <> hub").select("hub", "node").distinct()
     edges = scratch.write(confirmed(pairs, sets, how), "edges")
     labels = components(scratch, edges, "first")
-    known = found.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    known = scratch.write(known.select("key", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "known")
+    known = found.join(labels, "node", "left")
+    known = scratch.write(known.select("key", "hub", "node", F.coalesce("component", "node").alias("component")), "known")
     # The hub has been compared with all others, so a bucket is settled if these are one component.
-    rest = known.filter("doc_id <> hub").groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
+    rest = known.filter("node <> hub").groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
     rest = rest.filter("a <> b").select("key", F.ceil(F.col("n") / how.block).cast("int").alias("chunks"))
-    unsettled = known.filter("doc_id <> hub").join(rest, "key").join(reps.select("doc_id", "sketch"), "doc_id")
-    blocks = scratch.write(open_blocks(unsettled.select("key", "doc_id", "component", "sketch", "chunks"), how), "blocks")
+    unsettled = known.filter("node <> hub").join(rest, "key").join(reps.select("node", "sketch"), "node")
+    blocks = scratch.write(open_blocks(unsettled.select("key", "node", "component", "sketch", "chunks"), how), "blocks")
     more = scratch.write(block_links(blocks, sets, how), "more")
     final = components(scratch, labels.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more), "last")
-    scratch.drop("needed", "sets", "members", "known", "blocks", "edges")
-    by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    joined = rows.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["n_shingles", "d1", "d2"], "left")
+    scratch.drop("needed", "sets", "members", "known", "blocks", "edges", "reps")
+    linked = final.filter("node <> component").join(classes.select(F.col("node").alias("component"), F.col("rep").alias("c"), F.col("rep_mark").alias("m")), "component").select("node", "c", "m")
+    by_class = classes.join(linked, "node", "left").select(*CLASS, F.coalesce("c", "rep").alias("component_id"), F.coalesce("m", "rep_mark").alias("component_mark"))
+    joined = rows.select("doc_id", "mark", *CLASS).join(by_class, CLASS, "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return joined.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return joined.select("doc_id", "mark", "n_shingles", *(F.when(own, F.col(c)).otherwise(F.col(f"component_{n}")).alias(f"component_{n}") for c, n in (("doc_id", "id"), ("mark", "mark"))))
 
 
 def report(spark: SparkSession, docs: DataFrame, how: Similarity = TRIPLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (whether the row's id is its component's smallest)."""
-    found = grouped(spark, docs, how)
+    found = grouped(spark, docs, how).select("doc_id", "n_shingles", "component_id")
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """The rows of ``docs`` that are the first of their near-duplicate group, all columns kept."""
-    first = grouped(spark, docs, how).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that are the first document of their near-duplicate group, all columns kept.
+
+    Of rows that repeat a doc_id within a group the text with the smallest hash stays; rows equal in
+    id and text are one document read twice and share its fate.
+    """
+    doc_id, mark = free_names(docs, "gone_id", "gone_mark")
+    found = grouped(spark, docs, how).filter("doc_id <> component_id or mark <> component_mark")
+    gone = found.select(F.col("doc_id").alias(doc_id), F.col("mark").alias(mark)).distinct()
+    same = (F.col("doc_id").cast("long") == F.col(doc_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark))
+    return docs.join(gone, same, "left_anti")

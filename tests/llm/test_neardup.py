@@ -74,3 +74,27 @@ def test_signatures_estimate_similarity_with_less_variance():
         s = minhash.signatures([a, b], 128)
         off.append((s[0] == s[1]).mean() - 180 / 220)
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.033
+
+
+def test_rows_that_repeat_an_id_keep_their_own_links(spark):
+    rng = random.Random(2)
+    a, b = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(120)) for _ in range(2))
+    rows = [(1, a), (1, b), (5, a), (6, b), (7, a + " extra"), (8, b + " extra"), (3, b), (3, "a text of its own that nobody repeats at all")]
+    schema = "doc_id long, text string"
+    got = neardup.report(spark, spark.createDataFrame(rows, schema).repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (3, 1), (3, 3), (5, 1), (6, 1), (7, 1), (8, 1)]
+    both = [(4, a), (2, a + " extra"), (4, b), (9, b + " extra"), (4, b)]
+    got = neardup.report(spark, spark.createDataFrame(both, schema)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (4, 2), (4, 4), (4, 4), (9, 4)]
+    kept = neardup.one_of_each(spark, spark.createDataFrame(both, schema)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(2, a + " extra"), (4, b), (4, b)]
+    one = neardup.one_of_each(spark, spark.createDataFrame([(1, a), (1, a + " extra"), (2, a)], schema)).collect()
+    assert len(one) == 1 and one[0]["doc_id"] == 1
+
+
+def test_columns_of_any_name_are_kept(spark):
+    text = "some words that are here twice or more"
+    extra = ["_gone", "gone_id", "GONE_MARK", "mark", "node", "component_id", "n_shingles", "d1", "kept"]
+    table = spark.createDataFrame([(3, text, *range(9)), (7, text, *range(9)), (8, None, *range(9))], ["doc_id", "text", *extra])
+    got = neardup.one_of_each(spark, table)
+    assert got.columns == table.columns and sorted(r["doc_id"] for r in got.collect()) == [3, 8]
