@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cadence.functions.timestamps import let
+
 #: Spellings of booleans (fixed values).
 TRUE, FALSE = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
 #: An identifier that a spreadsheet has turned into a float (fixed pattern).
@@ -16,17 +17,32 @@ CORRUPTED_ID = r"^[0-9]+([.][0-9]+)?[eE][+-]?[0-9]+$"
 
 def entropy(counts: Column, bins: int | Column | None = None) -> Column:
     """Shannon entropy of an array of counts over log2 of the bins (its size), from 0 to 1."""
-    counts = F.transform(counts, lambda c: c.cast("double"))
-    width = F.size(counts) if bins is None else (F.lit(bins) if isinstance(bins, int) else bins)
-    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
-    bits = F.aggregate(F.filter(counts, lambda c: c > 0), F.lit(0.0), lambda a, c: a - c / total * F.log2(c / total))
-    return F.when(counts.isNull(), None).when((total <= 0) | (width <= 1), 0.0).otherwise(F.abs(bits) / F.log2(width.cast("double")))
+
+    def of(known: Column) -> Column:
+        width = F.size(known) if bins is None else (F.lit(bins) if isinstance(bins, int) else bins)
+
+        def with_total(total: Column) -> Column:
+            bits = F.aggregate(known, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / total * F.log2(c / total)).otherwise(0.0))
+            return F.when((total <= 0) | (width <= 1), 0.0).otherwise(F.abs(bits) / F.log2(width.cast("double")))
+
+        return let(F.aggregate(known, F.lit(0.0), lambda a, c: a + c), with_total)
+
+    return F.when(counts.isNotNull(), let(F.transform(counts, lambda c: c.cast("double")), of))
+
+
+def run_lengths(ordered: Column) -> Column:
+    """The lengths of the runs of equal elements of an array."""
+
+    def cuts(items: Column) -> Column:
+        places = F.transform(items, lambda x, i: F.when((i == 0) | (x != F.get(items, i - 1)), i))
+        return let(F.filter(places, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(items)) - i))
+
+    return let(ordered, cuts)
 
 
 def character_entropy(text: Column) -> Column:
     """Entropy of the characters of a text, by the number of distinct ones."""
-    characters = F.split(text, "")
-    counts = F.transform(F.array_distinct(characters), lambda c: F.size(F.filter(characters, lambda x: x == c)))
+    counts = run_lengths(F.array_sort(F.split(text, "")))
     return F.when(F.length(text) > 0, entropy(counts)).when(text.isNotNull(), 0.0)
 
 
@@ -121,10 +137,3 @@ def completeness(fields: Sequence[Column], default_picture: Column | None = None
 def active_days_ratio(days: Column, span_days: Column) -> Column:
     return F.least(days / F.greatest(F.ceil(span_days), F.lit(1)), F.lit(1.0))
 
-
-def plain_entropy(counts: Sequence[float], bins: int | None = None) -> float:
-    """``entropy`` for the driver."""
-    total, width = sum(counts), len(counts) if bins is None else bins
-    if total <= 0 or width <= 1:
-        return 0.0
-    return abs(-sum(c / total * math.log2(c / total) for c in counts if c > 0)) / math.log2(width)

@@ -1,25 +1,32 @@
 """Near-duplicate, near-simultaneous publishing: evidence, graph, communities, null model.
 
-Pairs of posts meet where their fingerprints share a band in the same or the next time bucket.
+Pairs of posts meet where their fingerprints share bands in the same or the next time bucket.  Of
+eight bands two agree at least if six bits or fewer differ, so the join is on pairs of bands then.
 Posts with the same fingerprint in the same bucket are one row in that join, so copied text meets
 once however often it was posted; the pairs of posts come from the pairs of fingerprints.
+
+Fingerprints, evidence and edges are each written once and read by all that follows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
+from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.scalar import band, hamming
 from cadence.functions.simhash import fingerprinted
 from cadence.operators.features import FeatureSpec
 from cadence.operators.louvain import communities
+from cadence.plans.lineage import cut
+from cadence.plans.order import numbered
 
 BANDS, BAND_BITS, EXAMPLES = 8, 8, 3
+CAVEAT = "Coincidence in text and time is not proof of a common plan: news, slogans and share buttons produce it too."
 
 
 class CandidateBudgetError(RuntimeError):
@@ -64,20 +71,31 @@ def _bucket(micros: Column, config: CoordinationConfig) -> Column:
     return F.floor(micros / (config.window_seconds * 1e6)).cast("long")
 
 
+def band_keys(fingerprint: Column, max_hamming: int) -> Column:
+    """An array of (band, value) of which two fingerprints that are near enough share one at least."""
+    one = [band(fingerprint, b, BAND_BITS) for b in range(BANDS)]
+    if BANDS - max_hamming < 2:
+        return F.array(*(F.struct(F.lit(b).alias("band"), v.alias("value")) for b, v in enumerate(one)))
+    two = combinations(range(BANDS), 2)
+    return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftleft(one[a], BAND_BITS).bitwiseOR(one[b]).alias("value")) for k, (a, b) in enumerate(two)))
+
+
 def candidates(records: DataFrame, config: CoordinationConfig, keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs of (fingerprint, bucket) that share a band in the same or the next bucket, once each."""
+    """Pairs of (fingerprint, bucket) that share a band key in the same or the next bucket, once each."""
     spots = records.select(*keys, "fingerprint", _bucket(F.col("micros"), config).alias("bucket")).distinct()
-    bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), band(F.col("fingerprint"), b, BAND_BITS).alias("value")) for b in range(BANDS)))).alias("b")
-    banded = spots.select("*", bands).select(*keys, "fingerprint", "bucket", "b.*")
+    banded = spots.select("*", F.explode(band_keys(F.col("fingerprint"), config.max_hamming)).alias("b")).select(*keys, "fingerprint", "bucket", "b.*")
     early = banded.withColumn("probe", F.explode(F.array("bucket", F.col("bucket") + 1))).withColumnsRenamed({"fingerprint": "fp_a", "bucket": "bucket_a"})
     late = banded.withColumn("probe", F.col("bucket")).withColumnsRenamed({"fingerprint": "fp_b", "bucket": "bucket_b"})
     met = early.join(late, [*keys, "band", "value", "probe"])
     return met.select(*keys, "fp_a", "bucket_a", "fp_b", "bucket_b").distinct()
 
 
-def pairs(records: DataFrame, config: CoordinationConfig, keys: Sequence[str] = ()) -> DataFrame:
-    """Evidence: earlier and later post, accounts, lag in seconds and distance, within the window."""
-    near = candidates(records, config, keys).withColumn("distance", hamming(F.col("fp_a"), F.col("fp_b"))).filter(F.col("distance") <= config.max_hamming)
+def pairs(records: DataFrame, config: CoordinationConfig, keys: Sequence[str] = (), met: DataFrame | None = None) -> DataFrame:
+    """Evidence: earlier and later post, accounts, lag in seconds and similarity, within the window.
+
+    ``met`` is what ``candidates`` found, if it is known already.
+    """
+    near = (candidates(records, config, keys) if met is None else met).withColumn("distance", hamming(F.col("fp_a"), F.col("fp_b"))).filter(F.col("distance") <= config.max_hamming)
     spots = records.withColumn("bucket", _bucket(F.col("micros"), config))
 
     def side(s: str) -> DataFrame:
@@ -92,14 +110,18 @@ def pairs(records: DataFrame, config: CoordinationConfig, keys: Sequence[str] =
     return found.select(*keys, "post_id_a", "account_id_a", "post_id_b", "account_id_b", F.col("micros_b").alias("at"), lag.alias("lag_seconds"), (1 - F.col("distance") / 64.0).alias("similarity"))
 
 
-def comparisons(records: DataFrame, config: CoordinationConfig) -> int:
-    """Distinct pairs of posts that share a band in the same or the next bucket; up to budget + 1."""
+def compared(records: DataFrame, config: CoordinationConfig, met: DataFrame | None = None) -> DataFrame:
+    """a, b: the pairs of posts, in order of time, that candidates make to be compared."""
     spots = records.withColumn("bucket", _bucket(F.col("micros"), config))
     left = spots.select(F.col("fingerprint").alias("fp_a"), F.col("bucket").alias("bucket_a"), F.col("post_id").alias("a"), F.col("micros").alias("ma"))
     right = spots.select(F.col("fingerprint").alias("fp_b"), F.col("bucket").alias("bucket_b"), F.col("post_id").alias("b"), F.col("micros").alias("mb"))
-    met = candidates(records, config).join(left, ["fp_a", "bucket_a"]).join(right, ["fp_b", "bucket_b"])
-    met = met.filter("ma < mb or (ma = mb and a < b)")
-    return met.limit(config.max_candidate_pairs + 1).count()
+    both = (candidates(records, config) if met is None else met).join(left, ["fp_a", "bucket_a"]).join(right, ["fp_b", "bucket_b"])
+    return both.filter("ma < mb or (ma = mb and a < b)").select("a", "b")
+
+
+def comparisons(records: DataFrame, config: CoordinationConfig, met: DataFrame | None = None) -> int:
+    """The number of comparisons, up to one over the budget."""
+    return compared(records, config, met).limit(config.max_candidate_pairs + 1).count()
 
 
 def edges(evidence: DataFrame, config: CoordinationConfig, keys: Sequence[str] = ()) -> DataFrame:
@@ -126,6 +148,9 @@ class CoordinationResult:
     membership: DataFrame
     clusters: DataFrame
     null_model: DataFrame | None = None
+    strategy: str = "shift"
+    posts: DataFrame | None = None
+    met: DataFrame | None = None
 
     def clustered_accounts(self) -> DataFrame:
         return self.membership.filter("cluster_id is not null").select("account_id", "cluster_id")
@@ -134,11 +159,15 @@ class CoordinationResult:
         return self.records.select("account_id").distinct()
 
     def stats(self) -> DataFrame:
-        """One row: eligible and matched posts, pairs with evidence, edges, nodes."""
+        """One row: all, eligible and matched posts, comparisons, pairs with evidence, edges, nodes."""
+        total = self.records if self.posts is None else self.posts
+        pair = F.struct(F.least("account_id_a", "account_id_b"), F.greatest("account_id_a", "account_id_b"))
         parts = [
+            total.agg(F.count(F.lit(1)).alias("total_posts")),
             self.records.agg(F.count(F.lit(1)).alias("eligible_posts"), F.count_distinct("account_id").alias("nodes")),
             matched_posts(self.evidence).agg(F.count(F.lit(1)).alias("matched_posts")),
-            self.evidence.select(F.least("account_id_a", "account_id_b"), F.greatest("account_id_a", "account_id_b")).distinct().agg(F.count(F.lit(1)).alias("pairs_with_evidence")),
+            compared(self.records, self.config, self.met).agg(F.count(F.lit(1)).alias("comparisons")),
+            self.evidence.agg(F.count_distinct(pair).alias("pairs_with_evidence")),
             self.edges.agg(F.count(F.lit(1)).alias("edges")),
         ]
         out = parts[0].withColumn("_one", F.lit(1))
@@ -146,6 +175,12 @@ class CoordinationResult:
             out = out.join(p.withColumn("_one", F.lit(1)), "_one")
         return out.drop("_one")
 
+    def as_dict(self) -> dict:
+        """What may be published of the analysis: numbers, parameters and the caveat, no account."""
+        stats = self.stats().first().asDict()
+        null = None if self.null_model is None else null_summary(self.null_model, stats["edges"]) | {"strategy": self.strategy}
+        return {"caveat": CAVEAT, "config": self.config.as_dict(), "stats": stats, "clusters": cluster_summary(self.clusters).first().asDict(), "null_model": null}
+
 
 def numbered_clusters(edge_table: DataFrame, membership: DataFrame, config: CoordinationConfig) -> DataFrame:
     """cluster_id, community, size, members, n_edges, total_weight, density, means, medians, examples.
@@ -153,55 +188,68 @@ def numbered_clusters(edge_table: DataFrame, membership: DataFrame, config: Coor
     Communities are numbered by size and smallest member before small ones are left out.
     """
     sized = membership.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("account_id")).alias("members"))
-    numbered = sized.withColumn("cluster_id", F.format_string("c%03d", F.row_number().over(Window.orderBy(F.desc("size"), F.element_at("members", 1))) - 1))
+    named = numbered(sized, [F.desc("size"), F.element_at("members", 1)], "nth").withColumn("cluster_id", F.format_string("c%03d", "nth")).drop("nth")
     ends = membership.select("account_id", "community")
     inside = edge_table.join(ends.withColumnsRenamed({"account_id": "src", "community": "c"}), "src").join(ends.withColumnsRenamed({"account_id": "dst", "community": "d"}), "dst").filter("c = d")
     first = F.slice(F.array_sort(F.collect_list(F.struct("src", "dst", F.element_at("examples", 1).alias("example")))), 1, EXAMPLES)
     summed = inside.groupBy(F.col("c").alias("community")).agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("total_weight"), F.avg("mean_similarity").alias("mean_similarity"), F.median("median_lag_seconds").alias("median_lag_seconds"), F.transform(first, lambda x: x["example"]).alias("examples"))
     density = F.col("n_edges") * 2.0 / (F.col("size") * (F.col("size") - 1))
-    return numbered.join(summed, "community").filter(F.col("size") >= config.min_cluster_size).withColumn("density", density)
+    return named.join(summed, "community").filter(F.col("size") >= config.min_cluster_size).withColumn("density", density)
 
 
-def detect(corpus, config: CoordinationConfig = CoordinationConfig(), *, permutations: int = 0, strategy: str = "shift", check_budget: bool = True) -> CoordinationResult:
-    """Evidence, edges, communities and clusters of a corpus; with permutations, a null model too."""
-    records = eligible(corpus.posts, config).cache()
-    if check_budget and comparisons(records, config) > config.max_candidate_pairs:
+def detect(corpus, config: CoordinationConfig = CoordinationConfig(), *, permutations: int = 0, strategy: str = "shift", check_budget: bool = True, records: DataFrame | None = None) -> CoordinationResult:
+    """Evidence, edges, communities and clusters of a corpus; with permutations, a null model too.
+
+    ``records`` are the eligible posts of the corpus, if they have been made already.
+    """
+    records = cut(eligible(corpus.posts, config)) if records is None else records
+    met = cut(candidates(records, config))
+    if check_budget and comparisons(records, config, met) > config.max_candidate_pairs:
         raise CandidateBudgetError(f"more than {config.max_candidate_pairs} comparisons; narrow the window or raise the limit")
-    evidence = pairs(records, config).cache()
-    graph = edges(evidence, config).cache()
-    members = communities(graph, config.resolution, config.seed).cache()
-    clusters = numbered_clusters(graph, members, config)
+    evidence = cut(pairs(records, config, met=met))
+    graph = cut(edges(evidence, config))
+    members = cut(communities(graph, config.resolution, config.seed))
+    clusters = cut(numbered_clusters(graph, members, config))
     membership = members.join(clusters.select("community", "cluster_id"), "community", "left").select("account_id", "community", "cluster_id")
     null = null_model(records, config, permutations, strategy) if permutations else None
-    return CoordinationResult(config, records, evidence, graph, membership, clusters, null)
+    return CoordinationResult(config, records, evidence, graph, membership, clusters, null, strategy, corpus.posts, met)
 
 
 def _unit(*columns: Column) -> Column:
-    """A number from 0 to 1 that depends on nothing but the columns."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 53)) / float(1 << 53)
+    """A number from 0 to 1 that depends on nothing but the columns: the first 52 bits of a digest."""
+    digest = F.md5(F.concat_ws(":", *(c.cast("string") for c in columns)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _permuted(records: DataFrame, permutations: int) -> DataFrame:
+    return records.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
 
 
 def shifted(records: DataFrame, permutations: int, seed: int) -> DataFrame:
     """Each account's posts moved together by up to half the span of all, once per permutation."""
     reach = records.agg((F.max("micros") - F.min("micros")).alias("reach")).first()["reach"] or 0
-    perm = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
-    rows = records.select("*", perm)
-    move = ((_unit(F.col("account_id"), F.col("perm"), F.lit(seed)) - 0.5) * reach).cast("long")
-    return rows.withColumn("micros", F.col("micros") + move)
+    move = F.floor((_unit(F.col("account_id"), F.col("perm"), F.lit(seed)) - 0.5) * reach).cast("long")
+    return _permuted(records, permutations).withColumn("micros", F.col("micros") + move)
 
 
 def shuffled(records: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """The instants dealt anew among all posts, once per permutation."""
-    perm = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
-    rows = records.select("*", perm)
-    mine = Window.partitionBy("perm").orderBy("micros", "post_id")
-    dealt = Window.partitionBy("perm").orderBy(F.xxhash64("post_id", "perm", F.lit(seed)), "post_id")
-    times = rows.select("perm", F.row_number().over(mine).alias("nth"), F.col("micros").alias("moved"))
-    return rows.withColumn("nth", F.row_number().over(dealt)).join(times, ["perm", "nth"]).withColumn("micros", F.col("moved")).drop("moved", "nth")
+    """The instants dealt anew among all posts, once per permutation.
+
+    Every permutation has the same number of rows, so a row's number among all of them tells its
+    number within its own.
+    """
+    rows = _permuted(records, permutations)
+    times = numbered(rows.select("perm", "post_id", "micros"), [F.col("perm"), F.col("micros"), F.col("post_id")], "nth").select("nth", F.col("micros").alias("moved"))
+    draw = _unit(F.col("post_id"), F.col("perm"), F.lit(seed))
+    dealt = numbered(rows.withColumn("draw", draw), [F.col("perm"), F.col("draw"), F.col("post_id")], "nth")
+    return dealt.join(times, "nth").withColumn("micros", F.col("moved")).drop("moved", "nth", "draw")
 
 
 def null_model(records: DataFrame, config: CoordinationConfig, permutations: int = 100, strategy: str = "shift") -> DataFrame:
-    """perm, edges: how many edges chance timing gives; permutations without edges count 0."""
+    """perm, edges: how many edges chance timing gives; permutations without edges count 0.
+
+    ``records`` are read several times, so they should be written already.
+    """
     if strategy not in ("shift", "shuffle"):
         raise ValueError("strategy is shift or shuffle")
     moved = (shifted if strategy == "shift" else shuffled)(records, permutations, config.seed)
@@ -218,11 +266,11 @@ def null_summary(null: DataFrame, observed: int) -> dict:
 
 def window_sensitivity(corpus, windows: Sequence[float], config: CoordinationConfig = CoordinationConfig()) -> pd.DataFrame:
     """Edges, clusters and clustered accounts for each window length in seconds."""
-    out = []
+    out, records = [], cut(eligible(corpus.posts, config))
     for seconds in windows:
-        result = detect(corpus, replace(config, window_seconds=seconds), check_budget=False)
-        row = result.clusters.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
-        out.append({"window_seconds": seconds, "edges": result.edges.count(), "clusters": row["n"], "clustered_accounts": row["s"]})
+        result = detect(corpus, replace(config, window_seconds=seconds), check_budget=False, records=records)
+        row = cluster_summary(result.clusters).first()
+        out.append({"window_seconds": seconds, "edges": result.edges.count(), "clusters": row["n_clusters"], "clustered_accounts": row["n_accounts"]})
     return pd.DataFrame(out)
 
 

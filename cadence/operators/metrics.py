@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadence.plans.order import percentiles, running
+
 BINS = 10
 
 
@@ -36,8 +38,7 @@ def ranking(rows: DataFrame) -> DataFrame:
     """
     t = F.col("target").cast("double")
     counts = rows.groupBy("probability").agg(F.sum(t).alias("pos"), F.sum(1 - t).alias("neg"), F.sum((F.col("probability") - t) * (F.col("probability") - t)).alias("loss"))
-    down = Window.orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    run = running(counts, [F.desc("probability")], {"tp": F.col("pos"), "fp": F.col("neg")})
     # A negative at this probability is outranked by the positives above it, and ties count half.
     auc = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -73,7 +74,8 @@ def histogram(rows: DataFrame, bins: int = BINS) -> DataFrame:
 
 def probability_summary(rows: DataFrame) -> DataFrame:
     """One row: n, p10, median, p90 and the mean spread, where there is one."""
-    q = F.percentile("probability", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     spread = F.avg("spread") if "spread" in rows.columns else F.lit(None).cast("double")
-    one = rows.agg(F.count("probability").alias("n"), q.alias("q"), spread.alias("mean_spread"))
-    return one.select("n", *(F.element_at("q", k + 1).alias(c) for k, c in enumerate(("p10", "median", "p90"))), "mean_spread")
+    one = rows.agg(F.lit("p").alias("of"), F.count("probability").alias("n"), spread.alias("mean_spread"))
+    q = percentiles(rows.select(F.lit("p").alias("of"), "probability"), ["of"], "probability", (0.1, 0.5, 0.9))
+    both = one.join(q, "of", "left")
+    return both.select("n", *(F.get("q", k).alias(c) for k, c in enumerate(("p10", "median", "p90"))), "mean_spread")

@@ -74,18 +74,40 @@ def customer_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Two thirds of the customers as accounts, events as posts, so orphans exist by construction."""
-    accounts = customer_accounts(spark, sf_dir).filter(F.col("account_id").cast("long") % 3 != 0)
-    return build_corpus(accounts, event_posts(spark, sf_dir), planted_labels(spark, sf_dir), collected_at="2025-01-01T00:00:00Z")
+    """All customers as accounts, all events as posts, and a label for each customer."""
+    return build_corpus(customer_accounts(spark, sf_dir), event_posts(spark, sf_dir), planted_labels(spark, sf_dir), collected_at="2025-01-01T00:00:00Z")
 
 
 def planted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     label = F.when(key % 10 == 9, "unknown").when(key % 2 == 0, "automated").otherwise("organic")
-    return read(spark, sf_dir, "customer").filter(key % 4 != 1).select(key.cast("string").alias("account_id"), F.lit("generic").alias("platform"), label.alias("label"), F.concat(F.lit("set"), (key % 2).cast("string")).alias("dataset"))
+    return read(spark, sf_dir, "customer").select(key.cast("string").alias("account_id"), F.lit("generic").alias("platform"), label.alias("label"), F.concat(F.lit("set"), (key % 2).cast("string")).alias("dataset"))
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, probability) of the labelled documents: a stand-in score from the text's length."""
     rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     return rows.select("doc_id", F.col("quality").alias("target"), ((F.col("n_chars") % 101) / 100.0).alias("probability"))
+
+
+def digits(text: Column, n: int) -> Column:
+    """The first n hexadecimal digits of a text's MD5 as a long."""
+    return F.conv(F.substring(F.md5(text.cast("string").cast("binary")), 1, n), 16, 10).cast("long")
+
+
+def fingerprint_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of coordination, with fingerprints that SQL can compute too.
+
+    Five users that follow each other share texts, of which there is a new one every six hours; up to
+    four bits of a fingerprint differ by event.
+    """
+    micros = F.unix_micros(utc("ts"))
+    theme = F.concat_ws(":", F.floor(F.col("user_id") / 5), F.floor(micros / 21_600_000_000))
+    noise = F.shiftleft(F.lit(1).cast("long"), F.pmod("event_id", F.lit(57)).cast("int")) + F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("event_id") * 7, F.lit(53)).cast("int"))
+    return read(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("post_id"),
+        F.col("user_id").cast("string").alias("account_id"),
+        micros.alias("micros"),
+        F.when(F.col("event_type") == "error", F.lit("thread")).alias("root"),
+        digits(theme, 15).bitwiseXOR(noise).alias("fingerprint"),
+    )

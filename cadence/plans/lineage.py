@@ -1,23 +1,36 @@
-"""Cutting lineage with reliable checkpoints."""
+"""Cutting lineage with tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
     Only a local master may run without that setting: it gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not known:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            known = tempfile.mkdtemp(prefix="cadence-checkpoints-")
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        found = context._jsc.sc().getCheckpointDir()
+        known = found.get() if found.isDefined() else None
+    if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        known = tempfile.mkdtemp(prefix="cadence-checkpoints-")
         context.setCheckpointDir(known)
-    return df.checkpoint()
+    return known.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a Parquet table in the shared folder.
+
+    A lost executor costs nothing that is written; the tables stay until the folder is cleaned.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cadence-cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

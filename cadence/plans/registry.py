@@ -16,6 +16,7 @@ from cadence.functions.simhash import fingerprinted
 from cadence.functions.timestamps import parsed
 from cadence.operators import account, coordination, labels, metrics, temporal
 from cadence.plans import bindings as b
+from cadence.plans.lineage import cut
 from cadence.report import summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +92,7 @@ TEMPORAL = tuple(s.name for s in temporal.SPECS)
 _ROUNDED = ", ".join(f"round({c}::DOUBLE, {DIGITS}) AS {c}" for c in TEMPORAL)
 _EVENTS = "SELECT user_id::VARCHAR AS account_id, event_id::VARCHAR AS post_id, ts FROM events"
 _ORDERS = "SELECT o_custkey::VARCHAR AS account_id, o_orderkey::VARCHAR AS post_id, o_orderdate AS ts FROM orders"
-_ACCOUNTS = "SELECT c_custkey::VARCHAR AS account_id FROM customer WHERE c_custkey % 3 <> 0"
+_ACCOUNTS = "SELECT c_custkey::VARCHAR AS account_id FROM customer"
 
 
 @query(f"{profile_sql(_EVENTS, 20)} SELECT account_id, {_ROUNDED} FROM features")
@@ -160,7 +161,7 @@ _FIRST = "SELECT user_id::VARCHAR AS account_id, min(ts) AS first_post FROM even
  SELECT c_custkey::VARCHAR AS account_id, c_name AS handle, TIMESTAMP '2022-01-01' + to_hours(c_custkey) AS created,
   CASE WHEN c_custkey % 4 <> 0 THEN 1 ELSE 0 END AS described,
   CASE WHEN c_custkey % 5 <> 0 THEN abs(floor(c_acctbal)) END AS followers, c_custkey % 7 * 10 AS following, c_custkey % 11 AS posts
- FROM customer WHERE c_custkey % 3 <> 0
+ FROM customer
 ), f AS ({_FIRST}), j AS (
  SELECT *, (epoch_us(TIMESTAMP '2025-01-01') - epoch_us(created)) / 86400000000.0::DOUBLE AS age FROM a LEFT JOIN f USING (account_id)
 ), e AS (
@@ -185,7 +186,7 @@ def account_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""SELECT (SELECT count(*) FROM events) AS n_posts, 'generic' AS platforms,
  (SELECT epoch_us(min(ts)) FROM events) AS first_post, (SELECT epoch_us(max(ts)) FROM events) AS last_post,
- (SELECT count(*) FROM ({_ACCOUNTS})) AS n_accounts, (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 1) AS n_labels,
+ (SELECT count(*) FROM ({_ACCOUNTS})) AS n_accounts, (SELECT count(*) FROM customer) AS n_labels,
  (SELECT count(*) FROM events WHERE user_id::VARCHAR NOT IN ({_ACCOUNTS})) AS n_orphan_posts,
  (SELECT count(*) FROM ({_ACCOUNTS}) WHERE account_id NOT IN (SELECT user_id::VARCHAR FROM events)) AS n_silent_accounts"""
 )
@@ -209,24 +210,25 @@ def account_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.corpus(spark, sf_dir).spine()
 
 
+_SEGMENT = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
+
+
 @query(
-    f"""SELECT (SELECT count(*) FROM ({_ACCOUNTS}) a WHERE account_id::BIGINT % 2 = 0) AS n_accounts,
- (SELECT count(*) FROM events WHERE user_id % 2 = 0) AS n_posts,
- (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 1 AND c_custkey % 2 = 0) AS n_labels"""
+    f"""SELECT (SELECT count(*) FROM ({_SEGMENT})) AS n_accounts,
+ (SELECT count(*) FROM events WHERE user_id IN ({_SEGMENT})) AS n_posts,
+ (SELECT count(*) FROM ({_SEGMENT})) AS n_labels"""
 )
 def corpus_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = b.corpus(spark, sf_dir)
-    some = corpus.spine().union(corpus.labels.select("account_id")).filter(F.col("account_id").cast("long") % 2 == 0)
-    s = corpus.subset(some).summary()
-    return s.select("n_accounts", "n_posts", "n_labels")
+    some = b.read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("account_id"))
+    return b.corpus(spark, sf_dir).subset(some).summary().select("n_accounts", "n_posts", "n_labels")
 
 
-@query("SELECT event_type, count(*) AS n, sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS from_second FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS from_second FROM events GROUP BY 1")
 def corpus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = b.corpus(spark, sf_dir)
-    posts = b.event_posts(spark, sf_dir).withColumn("text", F.lit("second")).filter(F.col("post_id").cast("long") % 5 == 0)
-    merged = first.merge(build_corpus(first.accounts, posts)).posts
     kinds = b.read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("post_id"), "event_type")
+    posts = b.event_posts(spark, sf_dir).withColumn("text", F.lit("second")).join(kinds.filter("event_type = 'click'"), "post_id", "left_semi")
+    merged = first.merge(build_corpus(first.accounts, posts)).posts
     return merged.join(kinds, "post_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == "second").alias("from_second"))
 
 
@@ -246,7 +248,7 @@ def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LABELS = """SELECT c_custkey::VARCHAR AS account_id,
  CASE WHEN c_custkey % 10 = 9 THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'automated' ELSE 'organic' END AS label
- FROM customer WHERE c_custkey % 4 <> 1"""
+ FROM customer"""
 _KNOWN = f"{_ACCOUNTS} UNION SELECT user_id::VARCHAR FROM events"
 
 
@@ -384,7 +386,7 @@ def simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def coposting_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = coordination.eligible(b.document_posts(spark, sf_dir), COPOSTING)
+    records = cut(coordination.eligible(b.document_posts(spark, sf_dir), COPOSTING))
     return coordination.edges(coordination.pairs(records, COPOSTING), COPOSTING).drop("examples")
 
 
@@ -400,6 +402,6 @@ def coposting_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def coposting_null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = coordination.eligible(b.document_posts(spark, sf_dir), COPOSTING)
+    records = cut(coordination.eligible(b.document_posts(spark, sf_dir), COPOSTING))
     return coordination.null_model(records, COPOSTING)
 

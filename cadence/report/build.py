@@ -14,7 +14,7 @@ from cadence.report.privacy import Pseudonymiser
 from cadence.report.summary import cluster_cards, round_half_even, summarise_features
 
 CAVEATS = (
-    "Coincidence in text and time is not proof of a common plan: news, slogans and share buttons produce it too.",
+    coordination.CAVEAT,
     "Features describe behaviour; none of them says who or what is behind an account.",
     "Quantiles cover the accounts for which a feature could be measured; see its coverage.",
 )

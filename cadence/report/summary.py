@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadence.functions.scalar import days_between
+from cadence.plans.order import percentiles
 
 PERCENTILES = (0.1, 0.5, 0.9)
 #: A quiet share above this is counted among the restless (fixed value).
@@ -17,19 +17,19 @@ RESTLESS = 0.15
 def summarise_features(features: DataFrame, names: Iterable[str]) -> DataFrame:
     """feature, measured, missing, coverage, p10, median, p90; names that are no column are left out.
 
-    One pass over the table; percentiles interpolate linearly and leave NULLs out.
+    Percentiles interpolate linearly and leave NULLs out.
     """
     names = [n for n in names if n in features.columns]
-    stats = [F.struct(F.lit(n).alias("feature"), F.count(n).alias("measured"), (F.count(F.lit(1)) - F.count(n)).alias("missing"), F.percentile(F.col(n).cast("double"), F.array(*map(F.lit, PERCENTILES))).alias("q")).alias(n) for n in names]
-    one = features.agg(*stats)
-    rows = one.select(F.explode(F.array(*(F.col(n) for n in names))).alias("s")).select("s.*")
+    stats = [F.struct(F.lit(n).alias("feature"), F.count(n).alias("measured"), (F.count(F.lit(1)) - F.count(n)).alias("missing")).alias(n) for n in names]
+    rows = features.agg(*stats).select(F.explode(F.array(*(F.col(n) for n in names))).alias("s")).select("s.*")
+    long = features.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names))).alias("s")).select("s.*")
     total = F.col("measured") + F.col("missing")
-    return rows.select(
+    return rows.join(percentiles(long, ["feature"], "value", PERCENTILES), "feature", "left").select(
         "feature",
         "measured",
         "missing",
         F.when(total > 0, F.col("measured") / total).alias("coverage"),
-        *(F.element_at("q", k + 1).alias(c) for k, c in enumerate(("p10", "median", "p90"))),
+        *(F.get("q", k).alias(c) for k, c in enumerate(("p10", "median", "p90"))),
     )
 
 
@@ -55,12 +55,6 @@ def cluster_cards(clusters: DataFrame, members: DataFrame, features: DataFrame,
     return cards if profiles is None else cards.join(cluster_hours(members, profiles), "cluster_id", "left")
 
 
-def median_age(members: DataFrame, accounts: DataFrame, reference: str) -> DataFrame:
-    """Median age in days of each cluster's members."""
-    age = days_between(F.lit(reference).cast("timestamp"), F.col("created_at"))
-    return members.join(accounts.select("account_id", age.alias("age")), "account_id").groupBy("cluster_id").agg(F.median("age").alias("median_age_days"))
-
-
 def round_half_even(value: float | None, digits: int = 4) -> float | None:
     """Rounding for documents, on the driver: Python's, on the binary value."""
     return None if value is None else round(value, digits)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,7 +132,3 @@ def read_any(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     if kind in TABLES:
         return read_table(spark, path)
     raise ValueError(f"unsupported file type {kind!r}; expected .json, .jsonl, .csv or .tsv")
-
-
-def as_json(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, default=str)
