@@ -264,9 +264,9 @@ def null_summary(null: DataFrame, observed: int) -> dict:
     return {"permutations": row["n"], "mean_edges": row["mean"], "observed_edges": observed, "p_value": (1 + row["reached"]) / (row["n"] + 1)}
 
 
-def window_sensitivity(corpus, windows: Sequence[float], config: CoordinationConfig = CoordinationConfig()) -> pd.DataFrame:
+def window_sensitivity(corpus, windows: Sequence[float], config: CoordinationConfig = CoordinationConfig(), records: DataFrame | None = None) -> pd.DataFrame:
     """Edges, clusters and clustered accounts for each window length in seconds."""
-    out, records = [], cut(eligible(corpus.posts, config))
+    out, records = [], cut(eligible(corpus.posts, config)) if records is None else records
     for seconds in windows:
         result = detect(corpus, replace(config, window_seconds=seconds), check_budget=False, records=records)
         row = cluster_summary(result.clusters).first()

@@ -103,7 +103,7 @@ def fingerprint_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     micros = F.unix_micros(utc("ts"))
     theme = F.concat_ws(":", F.floor(F.col("user_id") / 5), F.floor(micros / 21_600_000_000))
-    noise = F.shiftleft(F.lit(1).cast("long"), F.pmod("event_id", F.lit(57)).cast("int")) + F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("event_id") * 7, F.lit(53)).cast("int"))
+    noise = F.expr("shiftleft(1L, int(event_id % 57)) + shiftleft(1L, int(event_id * 7 % 53))")
     return read(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("post_id"),
         F.col("user_id").cast("string").alias("account_id"),
