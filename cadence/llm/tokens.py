@@ -31,10 +31,10 @@ def byte_vocabulary(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+    """Ids of texts as little-endian unsigned 32-bit integers, as tokenizers gives them by default.
 
     The vocabulary runs in tiktoken, which is eight times as fast; texts with characters that its
-    pattern may class differently go to tokenizers.
+    pattern may class differently, and texts that hold an added token, go to tokenizers.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,6 +42,9 @@ class Encoder:
 
         self.path = path
         self.fast = tiktoken.Encoding("cadence", pat_str=PATTERN, mergeable_ranks=byte_vocabulary(path), special_tokens={})
+        with open(path, encoding="utf-8") as file:
+            added = [x["content"] for x in json.load(file).get("added_tokens", [])]
+        self.rare = re.compile("|".join([RARE.pattern, *map(re.escape, sorted(added))]))
 
     @cached_property
     def reference(self):
@@ -49,12 +52,10 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> list[int]:
-        if RARE.search(text):
+        if self.rare.search(text):
             return self.reference.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
