@@ -177,29 +177,25 @@ def _looked_up(rows: DataFrame, runs: np.ndarray, unit: bool) -> DataFrame:
     return rows.mapInArrow(run, f"{_ROWS}, other_range long, other_rank long")
 
 
-def opened(units: DataFrame, capacity: int, ranges: int, number: int, dense: bool) -> DataFrame:
-    """Units in new sequences, in order of size.
-
-    A sequence takes as many units as it could hold of the size of its first one, so shorter
-    documents find gaps that are worth a search; with ``dense``, all that fit.
-    """
+def opened(units: DataFrame, capacity: int, ranges: int, number: int, most: int) -> DataFrame:
+    """Units in new sequences, in order of size: as many to each as fit, and ``most`` at most."""
     dealt = units.repartitionByRange(ranges, F.desc("size"), F.xxhash64("docs")).sortWithinPartitions(F.desc("size"), F.xxhash64("docs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (number << 48) + (TaskContext.get().partitionId() << 32)
-        nth, at, more = -1, capacity, 0
+        nth, at, held = -1, capacity, 0
         for batch in batches:
             table = pa.Table.from_batches([batch])
             sizes = table.column("size").to_pylist()
             sequence, offset, closed = [], [], []
             for size in sizes:
-                if at + size > capacity or not (more or dense):
+                if at + size > capacity or held >= most:
                     if nth >= 0:
                         closed.append((first + nth, at))
-                    nth, at, more = nth + 1, 0, capacity // size
+                    nth, at, held = nth + 1, 0, 0
                 sequence.append(first + nth)
                 offset.append(at)
-                at, more = at + size, more - 1
+                at, held = at + size, held + 1
             yield from _rows(table, np.arange(len(sizes)), PLACED, np.int64(0), np.array(sizes, np.int64), np.array(sequence, np.int64), np.array(offset, np.int64))
             ends = np.array(closed, np.int64).reshape(-1, 2)
             yield from _rows(pa.table({"docs": pa.nulls(1, table.schema.field("docs").type)}), np.zeros(len(ends), np.int64), SHRUNK, np.int64(0), capacity - ends[:, 1], ends[:, 0], ends[:, 1])
@@ -282,14 +278,22 @@ class Packing:
         self._open_gaps(rows.filter(F.col("kind") == SHRUNK), gaps)
         return left.select("size", "docs"), found, found * ENOUGH >= min(n, idle + found)
 
-    def open(self, units: DataFrame, n: int, dense: bool) -> None:
-        """New sequences for units that fit in no gap."""
+    def open(self, units: DataFrame, n: int, shorter: int) -> None:
+        """New sequences for units that fit in no gap.
+
+        ``shorter`` are the tokens of the bands to come.  As long as these can fill them, gaps are left
+        that take several documents, since large gaps are filled better than small ones.
+        """
         self.rounds += 1
-        rows = self.scratch.write(opened(units, self.capacity, self._ranges(n), self.rounds, dense), f"round{self.rounds}")
+        sizes = units.agg(F.sum("size").alias("all"), F.max("size").alias("longest")).first()
+        free = 0 if self.gaps is None else self.gaps.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        sequences = max(1, (sizes["all"] + shorter - free) // self.capacity)
+        most = max(self.capacity // sizes["longest"], -(-n // sequences))
+        rows = self.scratch.write(opened(units, self.capacity, self._ranges(n), self.rounds, most), f"round{self.rounds}")
         self._keep(rows)
         self._open_gaps(rows.filter(F.col("kind") == SHRUNK))
 
-    def band(self, units: DataFrame, n: int, last: bool) -> None:
+    def band(self, units: DataFrame, n: int, shorter: int) -> None:
         """All documents of a band: matched round by round, then opened."""
         for _ in range(SINGLE_ROUNDS):
             units, found, more = self.match(units, n)
@@ -306,7 +310,7 @@ class Packing:
                 units = self.scratch.write(over.unionByName(single), f"units{self.rounds}")
                 n, most = units.count(), most // 2
         if n:
-            self.open(units, n, last)
+            self.open(units, n, shorter)
 
 
 def pack(
@@ -327,14 +331,15 @@ def pack(
     pieces = scratch.write(tokenised_pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity, end_id), "pieces")
     lows = [int(share * capacity) + 1 for share in BANDS]
     band = sum((F.col("length") < low).cast("int") for low in lows)
-    known = {r["band"]: (r["n"], r["least"]) for r in pieces.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("least")).collect()}
+    counts = pieces.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("least"), F.sum("length").alias("tokens"))
+    known = {r["band"]: r for r in counts.collect()}
     if not known:
         return spark.createDataFrame([], f"{PIECES}, sequence_id long, offset long")
-    state = Packing(scratch, capacity, min(least for _, least in known.values()))
+    state = Packing(scratch, capacity, min(r["least"] for r in known.values()))
     names = [x.split()[0] for x in PIECES.split(", ")]
     for k in sorted(known):
         units = pieces.filter(band == k).select(F.col("length").alias("size"), F.array(F.struct(*names)).alias("docs"))
-        state.band(units, known[k][0], k == max(known))
+        state.band(units, known[k]["n"], sum(r["tokens"] for r in known.values() if r["band"] > k))
     placed = state.placed[0]
     for more in state.placed[1:]:
         placed = placed.unionByName(more)

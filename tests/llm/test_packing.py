@@ -82,7 +82,7 @@ def placed(spark, lengths, capacity, ranges=None):
     for low, high in zip([capacity // 2 + 1, capacity // 3 + 1, 1], [capacity + 1, capacity // 2 + 1, capacity // 3 + 1], strict=True):
         some = units.filter((F.col("size") >= low) & (F.col("size") < high))
         if n := some.count():
-            state.band(some, n, low == 1)
+            state.band(some, n, sum(x for x in lengths if x < low))
     out = defaultdict(list)
     seen = []
     for r in reduce(DataFrame.unionByName, state.placed).collect():
