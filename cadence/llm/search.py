@@ -7,7 +7,9 @@ norms of at least theta / |q|); if it is high, coordinates prune: a candidate mu
 query on its strongest coordinates, since what the others can add is bounded by the lengths that
 remain.  What is left is verified by the full integer product.
 
-The longest bucket gives all queries their first thresholds; queries travel in blocks.
+The longest bucket gives all queries their first thresholds; queries travel in blocks.  Which blocks
+meet which buckets is decided on their bounds alone, before any vector moves; then blocks stream past
+the bucket, which a task holds one at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ BUCKET, BLOCK = 4096, 256
 #: Cosine from which coordinates prune before the full product, and how many of them.
 COORDINATE_COSINE, COORDINATES = 0.6, 16
 SCALE = 256.0
+#: Two vectors of this length have a product below 2^63.
+LONGEST = 2.0**31
+#: Query blocks that one copy of a bucket meets, and parts that the bounds of buckets are joined in.
+MEETINGS, PARTS = 64, 16
 #: Products of coordinates below this bound are exact in double precision.
 EXACT = 2.0**53
 
@@ -38,7 +43,7 @@ def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: flo
     """dims, id, norm and the components floor(scale * x) as doubles in a binary.
 
     Vectors that are null, empty or hold a null or a component that is not finite, and null ids,
-    are left out.
+    are left out; so are vectors so long (over LONGEST after scaling) that a score need not be a long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +54,12 @@ def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: flo
                 if i is None or values is None or not len(values) or values.null_count:
                     continue
                 v = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(v).all():
-                    v = np.floor(scale * v)
-                    rows.append((len(v), i, float(np.sqrt(v @ v)), v.astype("<f8").tobytes()))
+                if not np.isfinite(v).all() or np.abs(v).max() > LONGEST / scale:
+                    continue
+                v = np.floor(scale * v)
+                norm = float(np.sqrt(v @ v))
+                if norm <= LONGEST:
+                    rows.append((len(v), i, norm, v.astype("<f8").tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int32(), pa.int64(), pa.float64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["dims", "id", "norm", "vector"])
@@ -143,20 +151,38 @@ def _best(query: int, ids: np.ndarray, score: np.ndarray, theta: float, k: int)
         yield int(query), int(ids[j]), int(score[j])
 
 
-def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """The best of each bucket for the queries of each block that meets it."""
+def _searched(pairs: DataFrame, blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """The best of each bucket for the queries of each block that meets it (block, bucket)."""
+    heads = buckets.join(pairs.select("bucket", "copy").distinct(), "bucket").select("bucket", "copy", F.lit(0).alias("kind"), "dims", "ids", "matrix", F.lit(None).cast("binary").alias("theta"))
+    asks = blocks.join(pairs, "block").select("bucket", "copy", F.lit(1).alias("kind"), "dims", F.col("ids_q").alias("ids"), F.col("queries").alias("matrix"), "theta")
+    parts = 4 * partitions(blocks.sparkSession)
+    rows = heads.unionByName(asks).repartition(parts, "bucket", "copy").sortWithinPartitions("bucket", "copy", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = matrix = None
         for batch in batches:
             for row in range(batch.num_rows):
-                dims, ids_q, queries, theta, ids, matrix = (batch.column(c)[row].as_py() for c in range(6))
-                ids_q, ids = np.frombuffer(ids_q, "<i8"), np.frombuffer(ids, "<i8")
-                theta = np.frombuffer(theta, "<f8") if theta else np.full(len(ids_q), -np.inf)
-                found = list(bucket_top(ids_q, np.frombuffer(queries, "<f8").reshape(-1, dims), theta, ids, np.frombuffer(matrix, "<f8").reshape(-1, dims), k))
+                kind, dims, names, raw, theta = (batch.column(c)[row].as_py() for c in range(2, 7))
+                if not kind:
+                    ids, matrix = np.frombuffer(names, "<i8"), np.frombuffer(raw, "<f8").reshape(-1, dims)
+                    continue
+                ids_q = np.frombuffer(names, "<i8")
+                limits = np.frombuffer(theta, "<f8") if theta else np.full(len(ids_q), -np.inf)
+                found = list(bucket_top(ids_q, np.frombuffer(raw, "<f8").reshape(-1, dims), limits, ids, matrix, k))
                 columns = list(zip(*found, strict=True)) or [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
 
-    return pairs.select("dims", "ids_q", "queries", "theta", "ids", "matrix").mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def meetings(blocks: DataFrame, buckets: DataFrame) -> DataFrame:
+    """block, bucket, copy: the blocks (block, dims, need) with a query that a bucket (bucket, dims, longest) may serve."""
+    bounds = buckets.select("bucket", "dims", "longest", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    asking = blocks.select("block", "dims", "need", F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int").alias("part"))
+    met = asking.join(bounds, ["dims", "part"]).filter(F.col("longest") >= F.col("need"))
+    # Blocks are numbered by partition and place; a copy of a bucket meets about MEETINGS of them.
+    many = F.greatest(F.lit(1), F.floor(blocks.count() / F.lit(MEETINGS))).cast("int")
+    return met.select("block", "bucket", F.pmod(F.xxhash64("block", F.lit(1)), many).cast("int").alias("copy"))
 
 
 def top(
@@ -184,21 +210,26 @@ def top(
     asking = rows.withColumnRenamed("id", id_column).filter(is_query).withColumnRenamed(id_column, "id").dropDuplicates(["dims", "id", "vector"])
     asking = asking.repartitionByRange(max(1, parts // 4), "dims", "norm", "id").sortWithinPartitions("dims", "norm", "id")
     blocks = scratch.write(_packed(asking, block, "block").select("block", "dims", F.col("ids").alias("ids_q"), F.col("matrix").alias("queries")), "blocks")
-    lead = buckets.groupBy("dims").agg(F.max(F.struct("longest", (-F.col("bucket")).alias("turned"))).alias("lead"))
-    lead = lead.select("dims", (-F.col("lead")["turned"]).alias("bucket"))
-    first = blocks.join(buckets.join(lead, ["dims", "bucket"], "left_semi"), "dims").withColumn("theta", F.lit(None).cast("binary"))
-    seeds = scratch.write(_searched(first, k), "seeds")
+    bounds = buckets.select("bucket", "dims", "longest")
+    lead = bounds.groupBy("dims").agg(F.max(F.struct("longest", (-F.col("bucket")).alias("turned"))).alias("lead"))
+    lead = scratch.write(lead.select("dims", (-F.col("lead")["turned"]).alias("bucket"), F.col("lead")["longest"].alias("longest")), "lead")
+    no_limit = F.lit(None).cast("binary").alias("theta")
+    first = meetings(blocks.select("block", "dims", F.lit(-math.inf).alias("need")), lead)
+    seeds = scratch.write(_searched(first, blocks.select("*", no_limit), buckets, k), "seeds")
     nth = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = seeds.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") == k).select("query_id", F.col("score").cast("double").alias("least"))
-    limits = _limits(blocks, kth)
-    others = limits.join(buckets.join(lead, ["dims", "bucket"], "left_anti"), "dims")
-    found = seeds.unionByName(_searched(others.repartition(4 * parts), k))
+    limits = scratch.write(_limits(blocks, kth), "limits")
+    pairs = scratch.write(meetings(limits, bounds.join(lead, ["dims", "bucket"], "left_anti")), "pairs")
+    found = seeds.unionByName(_searched(pairs, limits, buckets, k))
     ranked = found.withColumn("rank", F.row_number().over(nth)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _limits(blocks: DataFrame, kth: DataFrame) -> DataFrame:
-    """Blocks with the k-th best score so far of each of their queries (minus infinity: none)."""
+    """Blocks with theta, the k-th best score so far of each query (minus infinity: none), and need.
+
+    A bucket whose longest vector is shorter than ``need`` serves no query of the block.
+    """
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +240,16 @@ def _limits(blocks: DataFrame, kth: DataFrame) -> DataFrame:
     listed = blocks.select("block", "ids_q").mapInArrow(ids, "block long, place long, query_id long")
     each = listed.join(kth, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "least"))).alias("limits"))
 
-    @F.pandas_udf("binary")
-    def raw(limits: pd.Series) -> pd.Series:
-        return pd.Series([np.array([-np.inf if x["least"] is None else x["least"] for x in some], "<f8").tobytes() for some in limits])
-
-    return blocks.join(each.select("block", raw("limits").alias("theta")), "block")
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            thetas, needs = [], []
+            for dims, raw, limits in zip(*(batch.column(c).to_pylist() for c in (1, 3, 4)), strict=True):
+                theta = np.array([-np.inf if x["least"] is None else x["least"] for x in limits], "<f8")
+                norm = np.sqrt((np.frombuffer(raw, "<f8").reshape(-1, dims) ** 2).sum(1))
+                need = np.full(len(theta), -np.inf)
+                np.divide(theta, norm, out=need, where=(theta > 0) & (norm > 0))
+                thetas.append(theta.tobytes())
+                needs.append(float(need.min(initial=np.inf)) * (1 - 1e-9))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(thetas, pa.binary()), pa.array(needs, pa.float64())], names=["block", "dims", "ids_q", "queries", "theta", "need"])
+
+    return blocks.join(each, "block").select("block", "dims", "ids_q", "queries", "limits").mapInArrow(bounded, "block long, dims int, ids_q binary, queries binary, theta binary, need double")

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadence.llm._shared import free_names
+
 #: The patterns of the base kinds (fixed values), in the order of their listing.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -42,7 +44,7 @@ CLASSES = (
     CharacterClass("entropy_hex", r"[0-9A-Fa-f]{20,}", "0123456789abcdef", True, 20, 3.0, r"(?=.*[0-9])(?=.*[A-Fa-f])"),
     CharacterClass("entropy_base64", r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", False, 20, 3.9, r"(?=.*[0-9])(?=.*[A-Za-z])"),
 )
-#: Candidates that contain one of these are no secrets: UUIDs, placeholders, counted alphabets.
+#: What matches one of these is no secret: UUIDs, placeholders, counted alphabets.
 ALLOWED = (
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"(?i)example|placeholder|dummy|sample",
@@ -50,6 +52,8 @@ ALLOWED = (
     r"(?i)0123456789|abcdefghij",
 )
 
+#: Matches that are listed together.
+CHUNK = 128
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,found:string>>"
 
 
@@ -69,8 +73,17 @@ def located(text: Column, pattern: str, kind: str, rank: int, hint: Column) -> C
             F.when(x["m"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(span))).alias("out"),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out"))
-    return F.when(hint, F.aggregate(steps, start, step, lambda state: state["out"])).otherwise(nothing)
+    def chunk(state: Column, some: Column) -> Column:
+        """A chunk of matches at once, so a text of many matches doesn't copy its list for each."""
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), nothing.alias("out")), step)
+        return F.get(F.transform(F.array(inner), lambda y: F.struct(y["at"].alias("at"), F.concat(state["out"], F.array(y["out"])).alias("out"))), 0)
+
+    def listed(all_steps: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_steps, k * CHUNK + 1, CHUNK))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+        return F.aggregate(chunks, start, chunk, lambda state: F.flatten(state["out"]))
+
+    return F.when(hint, F.get(F.transform(F.array(steps), listed), 0)).otherwise(nothing)
 
 
 def _weight(count: Column) -> Column:
@@ -108,29 +121,46 @@ def dense_part(candidate: Column, which: CharacterClass) -> Column:
     return F.aggregate(pairs, start, step, lambda state: F.struct(state["first"].alias("first"), state["last"].alias("last")))
 
 
-def scanned(docs: DataFrame, *, text: str = "text", allowed: tuple[str, ...] = ALLOWED, classes: tuple[CharacterClass, ...] = CLASSES) -> DataFrame:
-    """``docs`` with _base and _dense, arrays of (start, rank, end, kind, found).
+def scanned(docs: DataFrame, *, text: str = "text", allowed: tuple[str, ...] = ALLOWED, classes: tuple[CharacterClass, ...] = CLASSES, added: tuple[str, str] = ("base", "dense")) -> DataFrame:
+    """``docs`` with base and dense spans, arrays of (start, rank, end, kind, found), under the names ``added``.
 
-    A null text is an empty one and has no spans.  Every row is treated by itself.  A dense span is
-    left out if it touches a base span or its candidate is on the allow-list.
+    No column of ``docs`` may be called so.  A null text is an empty one and has no spans.  Every row
+    is treated by itself.  What the allow-list matches parts a candidate, and what a base span covers
+    is cut out of a dense one; the parts that are a window long stay.
     """
+    if free_names(docs, *added) != list(added):
+        raise ValueError(f"the table has a column of {', '.join(added)} already; name others")
+    names, (base, dense) = docs.columns, added
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     assign = located(body, ASSIGN, "assign", 0, body.rlike(ASSIGN_HINT))
     access = located(body, ACCESS, "access", 1, F.contains(body, F.lit("AKIA")))
     hexes = located(body, HEX, "hex", 2, body.rlike(HEX))
     long_enough = F.filter(assign, lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 1)) >= ASSIGN_LEAST)
-    out = docs.withColumn("_base", F.array_sort(F.concat(long_enough, access, hexes)))
+    each = free_names(docs.select(*names, *(F.lit(0).alias(n) for n in added)), *(f"dense{k}" for k in range(len(classes))))
+    out = docs.withColumn(base, F.array_sort(F.concat(long_enough, access, hexes)))
     for k, which in enumerate(classes):
-        out = out.withColumn(f"_dense{k}", _dense_spans(body, which, 3 + k, allowed))
-    every = F.concat(*(F.col(f"_dense{k}") for k in range(len(classes)))) if classes else F.array().cast(_SPANS)
-    apart = F.filter(every, lambda x: ~F.exists("_base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return out.withColumn("_dense", F.array_sort(apart)).drop(*(f"_dense{k}" for k in range(len(classes))))
+        out = out.withColumn(each[k], _dense_spans(body, which, 3 + k, allowed))
+    every = F.concat(*(F.flatten(F.transform(n, lambda x, w=which.window: _apart(x, F.col(base), w))) for n, which in zip(each, classes, strict=True))) if classes else F.array().cast(_SPANS)
+    return out.withColumn(dense, F.array_sort(every)).select(*names, *added)
+
+
+def _apart(span: Column, base: Column, window: int) -> Column:
+    """The parts of a span that no base span (in order of start) covers and that are a window long."""
+    near = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    starts = F.concat(F.array(span["start"]), F.transform(near, lambda b, i: F.array_max(F.transform(F.slice(near, 1, i + 1), lambda x: x["end"]))))
+    ends = F.concat(F.transform(near, lambda b: b["start"]), F.array(span["end"]))
+    parts = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), span["rank"].alias("rank"), b.alias("end"), span["kind"].alias("kind"), span["found"].alias("found")))
+    return F.when(F.size(near) == 0, F.array(span)).otherwise(F.filter(parts, lambda x: x["end"] - x["start"] >= window))
 
 
 def _dense_spans(body: Column, which: CharacterClass, rank: int, allowed: tuple[str, ...]) -> Column:
-    """The parts of high entropy of the candidates of one class that are not on the allow-list."""
+    """The parts of high entropy of the candidates of one class, and of what the allow-list leaves of them."""
     found = located(body, which.pattern, which.kind, rank, body.rlike(which.pattern))
-    found = F.filter(found, lambda x: x["found"].rlike(which.needs) & ~_any(x["found"], allowed))
+    found = F.filter(found, lambda x: x["found"].rlike(which.needs))
+    if allowed:
+        listed = "|".join(f"(?:{p})" for p in allowed)
+        found = F.flatten(F.transform(found, lambda x: F.when(x["found"].rlike(listed), _parted(x, listed)).otherwise(F.array(x))))
+        found = F.filter(found, lambda x: (F.length(x["found"]) >= which.window) & x["found"].rlike(which.needs))
     dense = F.transform(found, lambda x: F.struct(x.alias("x"), dense_part(x["found"], which).alias("d")))
     return F.transform(
         F.filter(dense, lambda y: y["d"]["first"].isNotNull()),
@@ -144,11 +174,18 @@ def _dense_spans(body: Column, which: CharacterClass, rank: int, allowed: tuple[
     )
 
 
-def _any(value: Column, patterns: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | value.rlike(pattern)
-    return hit
+def _parted(span: Column, pattern: str) -> Column:
+    """What lies between the matches of a pattern in the text of a span, as spans."""
+    found = F.regexp_extract_all(span["found"], F.lit(pattern), F.lit(0))
+    steps = F.zip_with(F.split(span["found"], pattern, -1), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+
+    def step(state: Column, x: Column) -> Column:
+        end = state["at"] + F.length(x["gap"])
+        part = F.struct(state["at"].alias("start"), span["rank"].alias("rank"), end.alias("end"), span["kind"].alias("kind"), x["gap"].alias("found"))
+        return F.struct((end + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.concat(state["out"], F.array(part)).alias("out"))
+
+    start = F.struct(span["start"].alias("at"), F.array().cast(_SPANS).alias("out"))
+    return F.aggregate(steps, start, step, lambda state: state["out"])
 
 
 def _written(spans: Column) -> Column:
@@ -156,7 +193,7 @@ def _written(spans: Column) -> Column:
 
 
 def _count(kind: str) -> Column:
-    return F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -165,15 +202,16 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         *(_count(kind) for kind in ("assign", "access", "hex")),
-        F.sha2(_written(F.col("_base")), 256).alias("base_sha256"),
-        _written(F.array_sort(F.concat("_base", "_dense"))).alias("spans"),
+        F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
+        _written(F.array_sort(F.concat("base", "dense"))).alias("spans"),
     )
 
 
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of the text replaced by the mask; other columns are kept."""
-    found = scanned(docs)
-    spans = F.array_sort(F.concat("_base", "_dense"))
+    base, dense = free_names(docs, "base", "dense")
+    found = scanned(docs, added=(base, dense))
+    spans = F.array_sort(F.concat(base, dense))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(state: Column, x: Column) -> Column:

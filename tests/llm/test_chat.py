@@ -50,3 +50,9 @@ def test_null_ids_extra_columns_and_empty_tables(spark):
     odd = spark.createDataFrame([(None, None, "user", "a", 1), (None, 0, "assistant", "b", 2)], "conv_id long, turn long, role string, text string, window int")
     assert [tuple(r)[:5] for r in chat.read_back(chat.formatted(odd)).collect()] == [(None, *want([("user", "a"), ("assistant", "b")]))]
     assert chat.formatted(odd.limit(0)).collect() == []
+
+
+def test_a_conversation_of_the_id_of_the_added_one_has_its_own_row(spark):
+    table = spark.createDataFrame([(-1, 0, "user", "hello"), (-1, 1, "assistant", "there")], "conv_id long, turn long, role string, text string")
+    got = chat.report(spark, table).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(-1, 2), (-1, 2)] and {r["loss_chars"] for r in got} == {5, 34}

@@ -49,8 +49,8 @@ def test_against_brute_force_and_in_blocks(spark):
     want = brute(docs, items)
     assert {r["doc_id"]: tuple(r)[1:] for r in de.report(spark, d, b).collect()} == want
     parts = de.matches(spark, d, b, block_bytes=100).collect()
-    assert {r["doc_id"]: sum(y - x for x, y in r["_spans"]) for r in parts} == {k: v[1] for k, v in want.items()}
-    assert {r["doc_id"]: len(r["_items"]) for r in parts} == {k: v[2] for k, v in want.items()}
+    assert {r["doc_id"]: sum(y - x for x, y in r["spans"]) for r in parts} == {k: v[1] for k, v in want.items()}
+    assert {r["doc_id"]: len(r["items"]) for r in parts} == {k: v[2] for k, v in want.items()}
     assert de.report(spark, d, b.limit(0)).filter("n_hit > 0").count() == 0
     assert de.report(spark, d.limit(0), b).collect() == []
 
@@ -62,3 +62,13 @@ def test_cutting_keeps_what_is_clean(spark):
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r["doc_id"]: tuple(r) for r in de.cleaned(spark, d, b, coverage=0.8).collect()}
     assert got == {1: (1, "Before it: . After", 18), 3: (3, None, None), 4: (4, "nothing here", 12)}
+
+
+def test_columns_of_any_name_are_kept(spark):
+    item = "one two three four five six seven eight nine"
+    extra = ["_spans", "spans", "ITEMS", "n_words", "digest", "spans_before", "_n_words"]
+    table = spark.createDataFrame([(1, f"so {item} it is, and more of it", *range(7)), (1, f"so {item} it is, and more of it", *range(7)), (2, None, *range(7))], ["doc_id", "text", *extra])
+    items = spark.createDataFrame([(1, item), (2, "another item of the benchmark that occurs nowhere")], "item_id long, text string")
+    for got in (de.cleaned(spark, table, items, coverage=0.9), de.cleaned(spark, table.select(*table.columns), items, coverage=0.9)):
+        assert got.columns == table.columns
+        assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, "so  it is, and more of it", *range(7))] * 2 + [(2, None, *range(7))], key=str)
