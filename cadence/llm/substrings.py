@@ -2,14 +2,15 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller
 id.  Each such string has an anchor: the q-gram with the least hash in it, the last of equals.  Equal
-strings have equal anchors at equal distances, so only suffixes at anchors need be sorted.
+strings have equal anchors at equal distances, so only suffixes near anchors need be sorted.
 
-1. The initial buckets are the anchors' q-grams.  Buckets that hold one document are settled; the
+1. The initial buckets of anchors are their q-grams.  Buckets that hold one document are settled; the
    others' members are marked.
-2. Marked anchors send the bytes around them.  Their buckets are refined by sorting on the bucket so
-   far and the identifier at the next offset, forwards and backwards, each step reusing the
-   identifiers of the last; a member that is alone in its bucket leaves.  A string is then named by
-   its backward and its forward bucket, and each name has a smallest document.
+2. Marked anchors send the bytes around them.  There the suffix at each offset has a bucket, at first
+   that of its eight bytes.  A round sorts the suffixes on their bucket and on the identifier of the
+   bucket that the suffix so many bytes later is in, which gives finer buckets of twice the bytes; the
+   next round follows the pointers to these.  After the last one a string of ``length`` bytes is named
+   by two buckets that overlap, and each name has a smallest document.
 3. The covered bytes of each document are put together and cut out.
 
 Matches never cross documents, texts are whole, and names are equal only for equal bytes.
@@ -31,6 +32,10 @@ from cadence.llm.minhash import _CODE, _powers, mixed
 LENGTH, GRAM = 50, 20
 #: Buckets of hashed ids in the filter that keeps texts without marks out of a shuffle.
 FILTER = 1 << 20
+#: Bytes of text and marked anchors for each bucket that a task gathers, and contexts refined at once.
+BUCKET_BYTES, BUCKET_MARKS, CONTEXTS = 16_000_000, 50_000, 20_000
+#: Bytes of the first buckets of suffixes.
+FIRST = 8
 _BASE = 0x2545F4914F6CDD1D | 1
 _NONE = np.iinfo(np.int64).max
 
@@ -192,63 +197,92 @@ def _contexts(marked_docs: DataFrame, buckets: int, length: int, gram: int) -> D
     return marked_docs.select("doc_id", "text", "marks").mapInArrow(run, "bucket int, docs binary, places binary, low binary, high binary, bytes binary, names binary")
 
 
-def refined(bucket: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Bucket identifiers after each of the columns of ``symbols`` in turn; column 0 is ``bucket``.
+def named(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Identifiers of pairs of identifiers, as small as there are pairs: the buckets after one sort."""
+    key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+    return np.unique(key, return_inverse=True)[1].reshape(key.shape)
 
-    Each step sorts the members by (bucket so far, identifier at the next offset) and gives new
-    identifiers; those of members that are alone are left as they are.
+
+def refined(text: np.ndarray, length: int) -> np.ndarray:
+    """The bucket of the string of ``length`` bytes at each offset of rows of bytes.
+
+    Equal numbers mean equal strings.  Each round reads the identifiers of the last one at the same
+    offset and as many bytes later as these cover.
     """
-    n, steps = symbols.shape
-    out = np.empty((n, steps + 1), np.int64)
-    out[:, 0] = bucket
-    open_rows = np.arange(n)
-    now = bucket.copy()
-    for k in range(steps):
-        if len(open_rows):
-            key = now[open_rows] << 8 | symbols[open_rows, k]
-            order = np.argsort(key, kind="stable")
-            rows, key = open_rows[order], key[order]
-            fresh = np.append(True, key[1:] != key[:-1])
-            start = np.flatnonzero(fresh)
-            sizes = np.diff(np.append(start, len(key)))
-            # A bucket is called by its first member, so identifiers stay below the number of members.
-            now[rows] = np.repeat(rows[start], sizes)
-            open_rows = rows[np.repeat(sizes > 1, sizes)]
-        out[:, k + 1] = now
+    size = min(FIRST, length)
+    width = text.shape[1] - size + 1
+    key = np.zeros((len(text), width), np.uint64)
+    for k in range(size):
+        key = key << np.uint64(8) | text[:, k : k + width]
+    now = np.unique(key, return_inverse=True)[1].reshape(key.shape)
+    while size < length:
+        step = min(size, length - size)
+        now = named(now[:, :-step], now[:, step:])
+        size += step
+    return now
+
+
+def smallest(text: np.ndarray, docs: np.ndarray, has: np.ndarray, length: int) -> np.ndarray:
+    """For each row and offset (rows by strings), the smallest document with the string there, where ``has``."""
+    best = np.full(has.shape, _NONE)
+    if not has.any():
+        return best
+    name = refined(text, length)[:, : has.shape[1]][has]
+    least = np.full(int(name.max()) + 1, _NONE)
+    np.minimum.at(least, name, np.broadcast_to(docs[:, None], has.shape)[has])
+    best[has] = least[name]
+    return best
+
+
+def _parts(key: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows in runs of about ``most``; equal keys stay together."""
+    order = np.argsort(key, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(key))
+    out, start = [], 0
+    while start < len(key):
+        k = np.searchsorted(ends, start + most, side="right") - 1
+        stop = ends[k] if k >= 0 and ends[k] > start else ends[np.searchsorted(ends, start, side="right")]
+        out.append(order[start:stop])
+        start = stop
     return out
 
 
+def _hashed(text: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(text), np.uint64)
+    for k in range(text.shape[1]):
+        key = mixed(key + text[:, k].astype(np.uint64) + np.uint64(1))
+    return key
+
+
 def first_documents(docs: np.ndarray, names: np.ndarray, low: np.ndarray, high: np.ndarray, text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each distance a string begins before its anchor, the smallest document with the string.
 
     Members with the same bytes are one; the second result says which row of the first is whose.
+    Anchors of one gram are refined together.  If they have too many contexts, strings that reach far
+    after the anchor are split by the bytes after it, and the others by the bytes before it.
     """
     reach = length - gram
     rows = np.ascontiguousarray(np.hstack([names.view(np.uint8).reshape(len(names), 8), low[:, None], high[:, None], text]))
     _, lead, which = np.unique(rows.view(f"V{rows.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
     which = which.reshape(-1)
-    smallest = np.full(len(lead), _NONE)
-    np.minimum.at(smallest, which, docs)
+    first = np.full(len(lead), _NONE)
+    np.minimum.at(first, which, docs)
     names, low, high, text = names[lead], low[lead], high[lead], text[lead]
-    # The anchor's own bytes start the forward names, so equal hashes of other bytes don't matter.
-    _, bucket = np.unique(names, return_inverse=True)
-    order = np.argsort(bucket.reshape(-1), kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(bucket.reshape(-1)[order]) != 0))
-    called = np.empty(len(lead), np.int64)
-    called[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
-    forward = refined(called, text[:, reach:])[:, gram:]
-    backward = refined(called, text[:, reach - 1 :: -1] if reach else text[:, :0])
+    # Column k of a row of bytes is where a string begins that has reach - k bytes before its anchor.
+    before = reach - np.arange(reach + 1)
+    has = (low[:, None] <= before) & (before <= high[:, None])
     best = np.full((len(lead), reach + 1), _NONE)
-    for before in range(reach + 1):
-        has = np.flatnonzero((low <= before) & (before <= high))
-        if not len(has):
+    near = (reach + 1) // 2
+    for part in _parts(names, CONTEXTS):
+        if len(part) <= CONTEXTS:
+            best[part] = smallest(text[part], first[part], has[part], length)
             continue
-        key = backward[has, before] * len(lead) + forward[has, reach - before]
-        order = np.lexsort((smallest[has], key))
-        key = key[order]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        best[has[order], before] = np.repeat(smallest[has[order[start]]], np.diff(np.append(start, len(key))))
-    return best, which
+        halves = ((before <= near, text[part][:, reach + gram : length + reach - near]), (before > near, text[part][:, reach - near : reach]))
+        for some, shared in halves:
+            for piece in _parts(_hashed(shared), CONTEXTS):
+                rows_of = part[piece]
+                best[rows_of] = np.minimum(best[rows_of], smallest(text[rows_of], first[rows_of], has[rows_of] & some, length))
+    return best[:, ::-1], which
 
 
 def _covered(contexts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -283,11 +317,15 @@ def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def spans(spark: SparkSession, scratch: Scratch, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, cuts (array of start, stop): the covered bytes of documents (doc_id, text) that have any."""
-    buckets = max(32, partitions(spark))
+    # Buckets grow in number with the input, so what a task gathers doesn't.
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(32, partitions(spark), -(-total // BUCKET_BYTES))
     asked = scratch.write(_asked(docs, buckets, length, gram), "asked")
     marks = _marked(asked).groupBy("doc_id").agg(F.collect_list("ordinal").alias("marks"))
     marks = scratch.write(marks, "marks")
     scratch.drop("asked")
+    known = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+    buckets = max(32, partitions(spark), -(-known // BUCKET_MARKS))
     contexts = _contexts(_some(docs, marks).join(marks, "doc_id"), buckets, length, gram)
     found = _covered(contexts, length, gram).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     found = scratch.write(found, "found")

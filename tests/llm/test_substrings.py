@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from cadence.llm import substrings
 
 
@@ -59,3 +61,24 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in substrings.report(spark, rows).collect())
     assert got == [(False, 2, 0), (False, 4, 80), (False, 4, 80), (True, 0, 0), (True, 0, 0)]
     assert substrings.report(spark, rows.limit(0)).collect() == []
+
+
+def test_many_contexts_of_one_gram_are_split_without_loss(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, length, gram = 400, 20, 8
+    reach = length - gram
+    text = rng.integers(97, 99, (n, length + reach)).astype(np.uint8)
+    text[:, reach : reach + gram] = 100
+    text[: n // 2] = text[rng.integers(n // 2, n, n // 2)]
+    docs, low, high = rng.permutation(n), rng.integers(0, 4, n).astype(np.uint8), rng.integers(8, reach + 1, n).astype(np.uint8)
+    inside = np.arange(-reach, length)
+    text[(inside < -high[:, None].astype(int)) | (inside >= (length - low.astype(int))[:, None])] = 0
+    names = np.full(n, 7, np.uint64)
+    owners = {}
+    strings = {(i, b): text[i, reach - b : reach - b + length].tobytes() for i in range(n) for b in range(low[i], high[i] + 1)}
+    for (i, _), s in strings.items():
+        owners[s] = min(owners.get(s, n), docs[i])
+    for most in (10_000, 30, 1):
+        monkeypatch.setattr(substrings, "CONTEXTS", most)
+        best, which = substrings.first_documents(docs, names, low, high, text, length, gram)
+        assert all(best[which[i], b] == owners[s] for (i, b), s in strings.items())
