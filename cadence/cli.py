@@ -10,17 +10,17 @@ from pyspark.sql import SparkSession
 
 from cadence.operators import account, temporal
 from cadence.operators.coordination import CoordinationConfig, window_sensitivity
-from cadence.operators.ensemble import AutomationEnsemble, EnsembleConfig
+from cadence.operators.ensemble import SCORE_CAVEAT, AutomationEnsemble, EnsembleConfig
 from cadence.operators.features import catalogue
 from cadence.operators.labels import attach_labels
 from cadence.operators.metrics import histogram, probability_summary
 from cadence.operators.temporal import TemporalConfig
 from cadence.report.build import all_features, build_report, registry, to_html, to_json
-from cadence.sources.adapters import ArchiveAdapter, NativeAdapter
+from cadence.sources.adapters import ArchiveAdapter, LoadResult, NativeAdapter
 from cadence.sources.annotations import read_labels
 from cadence.sources.inspect import inspect_file, render_profile
 from cadence.sources.mapping import ACCOUNT_ALIASES, POST_ALIASES, MappingConfig
-from cadence.sources.sinks import write_corpus, write_features
+from cadence.sources.sinks import write_corpus_json, write_features
 
 
 def parser() -> argparse.ArgumentParser:
@@ -83,7 +83,7 @@ def _analyse(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.adapter == "io-archive":
         loaded = ArchiveAdapter(args.title, date_order=args.date_order, strict=args.strict).load_takedown(spark, args.posts, args.accounts)
     else:
-        loaded = NativeAdapter(MappingConfig(args.platform, args.assume_timezone, args.date_order, strict=args.strict)).load_tables(spark, args.posts, args.accounts)
+        loaded = _loaded(spark, MappingConfig(args.platform, args.assume_timezone, args.date_order, strict=args.strict), args.posts, args.accounts)
     config = CoordinationConfig(window_seconds=60 * args.window, min_edge_weight=args.min_edge_weight, max_candidate_pairs=args.max_candidate_pairs)
     document, features = build_report(
         loaded.corpus,
@@ -108,17 +108,23 @@ def _analyse(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def _loaded(spark: SparkSession, config: MappingConfig, posts: str, accounts: str | None) -> LoadResult:
+    """One file may be a JSON corpus; posts with a file of accounts are tables."""
+    adapter = NativeAdapter(config)
+    return adapter.load_tables(spark, posts, accounts) if accounts else adapter.load(spark, posts)
+
+
 def _labelled(spark: SparkSession, args: argparse.Namespace):
-    corpus = NativeAdapter().load_tables(spark, args.corpus, args.accounts).corpus
+    corpus = _loaded(spark, MappingConfig(), args.corpus, args.accounts).corpus
     offered = read_labels(spark, args.annotations, dataset=args.dataset, numeric_convention=args.numeric_convention)
     return attach_labels(corpus, offered)
 
 
 def _labels(spark: SparkSession, args: argparse.Namespace) -> int:
     corpus, coverage = _labelled(spark, args)
-    print(json.dumps(coverage.__dict__ | {"match_rate": coverage.match_rate}, default=str, indent=2))
+    print(json.dumps(coverage.as_dict(), indent=2))
     if args.out:
-        write_corpus(corpus, args.out)
+        write_corpus_json(corpus, args.out)
     return 0
 
 
@@ -129,7 +135,8 @@ def _train(spark: SparkSession, args: argparse.Namespace) -> int:
     _put(json.dumps(model.card, indent=2, default=str), args.card)
     if args.distribution:
         found = model.predict_proba(features).cache()
-        body = probability_summary(found).first().asDict() | {"histogram": [r["n"] for r in histogram(found).orderBy("bin").collect()]}
+        row = probability_summary(found).first()
+        body = {"n": row["n"], "quantiles": {k: row[k] for k in ("p10", "median", "p90")}, "mean_spread": row["mean_spread"], "histogram": [r["n"] for r in histogram(found).orderBy("bin").collect()], "caveat": SCORE_CAVEAT}
         _put(json.dumps(body, indent=2), args.distribution)
     return 0
 
@@ -137,7 +144,9 @@ def _train(spark: SparkSession, args: argparse.Namespace) -> int:
 def _inspect(spark: SparkSession, args: argparse.Namespace) -> int:
     extra: dict[str, tuple[str, ...]] = {}
     for pair in args.alias:
-        column, _, name = pair.partition("=")
+        column, equals, name = pair.partition("=")
+        if not (column and equals and name):
+            raise SystemExit(f"--alias {pair}: COLUMN=FIELD is expected")
         extra[name] = (*extra.get(name, ()), column.casefold())
     base = POST_ALIASES if args.kind == "posts" else ACCOUNT_ALIASES
     aliases = {k: (*base.get(k, ()), *extra.get(k, ())) for k in {**base, **extra}}

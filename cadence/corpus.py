@@ -36,11 +36,24 @@ def conformed(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
 
-def last_wins(df: DataFrame, keys: Sequence[str], ordinal: str = "_ordinal") -> DataFrame:
-    """One row per key: that with the largest ordinal."""
-    kept = [c for c in df.columns if c not in (*keys, ordinal)]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.col(ordinal)).alias("_row"))
-    return picked.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in kept)).select(*(c for c in df.columns if c != ordinal))
+ORDINAL = "_ordinal"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with an ordinal: its own if it has one, else the place of a row in the table as it is read.
+
+    Ordinals say which of two rows with one key was given last.  Tables keep theirs until they are
+    written, so joins and shuffles in between don't matter.
+    """
+    return df if ORDINAL in df.columns else df.withColumn(ORDINAL, F.monotonically_increasing_id())
+
+
+def last_wins(df: DataFrame, keys: Sequence[str], ordinal: str = ORDINAL, *, keep: bool = False) -> DataFrame:
+    """One row per key: that with the largest ordinal, which ``keep`` keeps, and among equals the largest row."""
+    kept = [c for c in df.columns if c not in (*keys, *([] if keep else [ordinal]))]
+    plain = [c for c in kept if "map" not in df.schema[c].dataType.simpleString()]
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct(ordinal, *plain)).alias("_row"))
+    return picked.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in kept)).select(*(c for c in df.columns if keep or c != ordinal))
 
 
 @dataclass(frozen=True)
@@ -70,7 +83,7 @@ class Corpus:
 
     def accounts_by_id(self) -> DataFrame:
         """One row per account id; the last one given wins."""
-        return last_wins(self.accounts.withColumn("_ordinal", F.monotonically_increasing_id()), ["account_id"])
+        return last_wins(numbered(self.accounts), ["account_id"])
 
     def posts_by_account(self) -> DataFrame:
         """account_id and its posts in canonical order."""
@@ -78,7 +91,7 @@ class Corpus:
         return self.posts.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "post_id", *rest))).alias("posts"))
 
     def labels_by_account(self) -> DataFrame:
-        return last_wins(self.labels.withColumn("_ordinal", F.monotonically_increasing_id()), ["account_id"])
+        return last_wins(numbered(self.labels), ["account_id"])
 
     def time_span(self) -> DataFrame:
         return self.posts.agg(F.min("created_at").alias("first_post"), F.max("created_at").alias("last_post"))
@@ -96,8 +109,8 @@ class Corpus:
         """Both corpora; of rows with the same key the other's wins."""
 
         def both(name: str, keys: list[str]) -> DataFrame:
-            mine, theirs = getattr(self, name).withColumn("_ordinal", F.lit(0)), getattr(other, name).withColumn("_ordinal", F.lit(1))
-            return last_wins(mine.unionByName(theirs, allowMissingColumns=True), keys)
+            sides = [numbered(getattr(c, name)).withColumn(ORDINAL, F.struct(F.lit(k).alias("side"), F.col(ORDINAL).alias("nth"))) for k, c in enumerate((self, other))]
+            return last_wins(sides[0].unionByName(sides[1], allowMissingColumns=True), keys)
 
         return Corpus(
             both("accounts", ["platform", "account_id"]),

@@ -17,8 +17,10 @@ NAIVE, AMBIGUOUS, BAD = "naive_timestamp", "ambiguous_date", "ValueError"
 MILLISECONDS = 1e11
 
 _NUMBER = r"^[+-]?[0-9]+([.][0-9]+)?$"
-_ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2}(?:[.][0-9]{1,6})?)[0-9]*)?)? ?(Z|z|[+-][0-9]{2}:?[0-9]{2})?$"
-_SLASH = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?: ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
+_ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ]([0-9]{2})(?::([0-9]{2})(?::([0-9]{2}(?:[.][0-9]{1,6})?)[0-9]*)?)?)? ?(Z|z|[+-][0-9]{2}:?[0-9]{2})?$"
+_BASIC = r"^([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})?([0-9]{2}(?:[.][0-9]{1,6})?)?[0-9]*(Z|z|[+-][0-9]{2}:?[0-9]{2})?$"
+_YEAR_FIRST = r"^([0-9]{4})(?:/([0-9]{1,2})/([0-9]{1,2})(?: ([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2}))?|-([0-9]{1,2})-([0-9]{1,2})(?: ([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?)?)$"
+_SLASH = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?:[ T]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?$"
 _WORDY = r"^[A-Za-z]{3} ([A-Za-z]{3}) ([0-9]{1,2}) ([0-9]{2}):([0-9]{2}):([0-9]{2}) ([+-][0-9]{4}) ([0-9]{4})$"
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -61,10 +63,21 @@ def _filled(parts: Column, k: int) -> Column:
 
 
 def _iso_of(body: Column) -> Column:
+    """wall and zone of an ISO 8601 time, in the extended or the basic form."""
+
     def made(parts: Column) -> Column:
         return F.struct(_wall(*(_filled(parts, k) for k in range(6))).alias("wall"), let(F.get(parts, 6), _zone).alias("zone"))
 
-    return F.when(body.rlike(_ISO), let(_parts(body, _ISO, 7), made))
+    return F.when(body.rlike(_ISO), let(_parts(body, _ISO, 7), made)).when(body.rlike(_BASIC), let(_parts(body, _BASIC, 7), made))
+
+
+def _year_first_of(body: Column) -> Column:
+    """The wall-clock time of a date that begins with the year, with slashes or short numbers."""
+
+    def made(parts: Column) -> Column:
+        return _wall(F.get(parts, 0), *(F.coalesce(_filled(parts, k), _filled(parts, k + 5)) for k in range(1, 6)))
+
+    return F.when(body.rlike(_YEAR_FIRST), let(_parts(body, _YEAR_FIRST, 11), made))
 
 
 def _wordy_of(body: Column) -> Column:
@@ -117,10 +130,11 @@ def parsed_struct(text: Column, assume_offset_hours: float | None = None, date_o
             _iso_of(body).alias("iso"),
             _wordy_of(body).alias("wordy"),
             _slash_of(body, date_order).alias("slash"),
+            _year_first_of(body).alias("year_first"),
         )
 
         def settle(k: Column) -> Column:
-            wall = F.coalesce(k["iso"]["wall"], k["slash"]["wall"])
+            wall = F.coalesce(k["iso"]["wall"], k["slash"]["wall"], k["year_first"])
             micros = F.coalesce(k["epoch"], k["wordy"], wall - F.coalesce(k["iso"]["zone"], assumed))
             return F.struct(micros.alias("micros"), wall.isNotNull().alias("naive"), F.coalesce(k["slash"]["unclear"], F.lit(False)).alias("unclear"))
 

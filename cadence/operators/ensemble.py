@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,11 @@ MINORITY, ECE, SPREAD = 0.2, 0.1, 1e-6
 MOST_ROWS = 2_000_000
 
 
+#: Published with every table of probabilities.
+SCORE_CAVEAT = "A probability says how accounts with such features were labelled; it is no finding about an account."
+VERSION = "0.2.0"
+
+
 class NotTrainableError(ValueError):
     """Too few labelled accounts of a class, or nothing measured."""
 
@@ -144,7 +150,11 @@ class AutomationEnsemble:
             warnings.append(f"calibration error {ece:.3f}: the probabilities are not to be taken at face value")
         if len(datasets) > 1:
             warnings.append("labels of several datasets were mixed")
+        methods = sorted(r["method"] for r in labels.select("method").distinct().collect() if r["method"]) if "method" in labels.columns else []
         return {
+            "version": VERSION,
+            "trained_at": datetime.now(UTC).isoformat(timespec="seconds"),
+            "label_methods": methods,
             "task": self.task.name,
             "config": asdict(self.config),
             "features": self.names,

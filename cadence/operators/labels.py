@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.corpus import Corpus, last_wins
+from cadence.corpus import ORDINAL, Corpus, last_wins, numbered
 
 #: Limits for warnings (fixed values).
 FEW, UNMATCHED = 0.05, 0.5
@@ -46,6 +46,11 @@ class LabelCoverage:
     def match_rate(self) -> float | None:
         return self.n_matched / self.n_labels if self.n_labels else None
 
+    def as_dict(self) -> dict:
+        """The document of a coverage."""
+        names = ("n_labels", "n_matched", "n_unmatched", "n_unlabelled_accounts", "match_rate")
+        return {n: getattr(self, n) for n in names} | {"counts": dict(self.by_label), "minority_share": self.minority_share, "datasets": list(self.datasets), "warnings": list(self.warnings)}
+
     @property
     def minority_share(self) -> float | None:
         total = sum(self.by_label.values())
@@ -82,18 +87,25 @@ def label_coverage(corpus: Corpus, labels: DataFrame | None = None) -> LabelCove
 def attach_labels(corpus: Corpus, labels: DataFrame, *, replace_existing: bool = False) -> tuple[Corpus, LabelCoverage]:
     """The corpus with the labels of its accounts; the last record of (account, dataset) wins.
 
+    Labels keep their ordinals, so the last one of an account is known across datasets too.
+
     Coverage is that of the labels offered, whatever is kept of them.
     """
-    offered = labels.withColumn("_ordinal", F.monotonically_increasing_id() + (1 << 62))
+    offered = numbered(labels)
     if not replace_existing:
-        offered = corpus.labels.withColumn("_ordinal", F.monotonically_increasing_id()).unionByName(offered)
-    kept = last_wins(offered.join(corpus.spine(), "account_id", "left_semi"), ["account_id", "dataset"])
+        known = numbered(corpus.labels)
+        most = known.agg(F.max(ORDINAL)).first()[0]
+        offered = known.unionByName(offered.withColumn(ORDINAL, F.col(ORDINAL) + F.lit(0 if most is None else most + 1)), allowMissingColumns=True)
+    kept = last_wins(offered.join(corpus.spine(), "account_id", "left_semi"), ["account_id", "dataset"], keep=True)
     return replace(corpus, labels=kept), label_coverage(corpus, labels)
 
 
 def training_rows(features: DataFrame, labels: DataFrame, names: list[str], task: TrainingTask = TrainingTask()) -> DataFrame:
-    """Features with label, target and status: NULL where a row can be learned from, else why not."""
-    last = labels.groupBy("account_id").agg(F.max_by("label", "_ordinal").alias("label")) if "_ordinal" in labels.columns else labels.groupBy("account_id").agg(F.last("label").alias("label"))
+    """Features with label, target and status: NULL where a row can be learned from, else why not.
+
+    Of several labels of an account the last one counts: by ordinal, or as the table is read.
+    """
+    last = last_wins(numbered(labels).select("account_id", "label", ORDINAL), ["account_id"])
     rows = features.join(last, "account_id", "left").withColumn("target", task.side(F.col("label")))
     measured = F.coalesce(*(F.col(c) for c in names)).isNotNull()
     status = F.when(F.col("label").isNull(), UNLABELLED).when(F.col("target").isNull(), OUTSIDE).when(~measured, UNMEASURED)

@@ -6,7 +6,6 @@ import json
 from html import escape
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cadence.operators import account, coordination, temporal
 from cadence.operators.features import FeatureRegistry
@@ -18,6 +17,7 @@ CAVEATS = (
     "Features describe behaviour; none of them says who or what is behind an account.",
     "Quantiles cover the accounts for which a feature could be measured; see its coverage.",
 )
+CARD_CAVEAT = "A cluster is a set of accounts that coincide; it is no proof that anybody directs them."
 NO_NULL = "No null model was run, so how many edges chance would give is not known."
 NAMED = "Pseudonyms are off: the report names accounts and must not be published."
 
@@ -62,9 +62,11 @@ def build_report(
     for row in cluster_cards(result.clusters, result.clustered_accounts(), features, profile).orderBy("cluster_id").collect():
         card = {k: round_half_even(v) if isinstance(v, float) else v for k, v in row.asDict(recursive=True).items() if k not in ("members", "community", "examples")}
         card["members"] = [names(m) for m in row["members"]]
+        card["total_pairs"] = card.pop("total_weight")
+        card["caveat"] = CARD_CAVEAT
         if include_examples:
-            ids = [e["later"] for e in row["examples"] or () if e]
-            card["examples"] = [r["text"] for r in corpus.posts.filter(F.col("post_id").isin(ids)).orderBy("post_id").select("text").collect()] if ids else []
+            # The ids of two posts, not their texts: these can be searched for and so tell who wrote them.
+            card["example_post_pairs"] = [[e["earlier"], e["later"]] for e in row["examples"] or () if e]
         cards.append(card)
     summary = corpus.summary().first().asDict()
     specs = registry()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +53,18 @@ def read_labels(
     first = lines.orderBy("at").limit(1).collect()
     if not first:
         return spark.createDataFrame([], LABEL_ROWS)
-    width = 32
+    head = [x.strip().casefold() for x in next(csv.reader(io.StringIO(first[0]["value"]), delimiter=separator), [])]
+    width = max(2, len(head))
     cells = F.from_csv("value", ", ".join(f"c{k} string" for k in range(width)), {"sep": separator, "quote": '"', "escape": '"'})
     rows = lines.select("at", F.array(*(cells[f"c{k}"] for k in range(width))).alias("c"))
-    head = [(x or "").strip().casefold() for x in rows.filter(F.col("at") == first[0]["at"]).first()["c"]]
     named = bool(id_column or class_column or set(head) & set(HEADER))
     where = {"id": 0, "class": 1}
     if named:
         for key, wanted in (("id", (id_column or "user_id").casefold()), ("class", (class_column or "label").casefold())):
             where[key] = head.index(wanted) if wanted in head else where[key]
+        for wanted in (id_column, class_column):
+            if wanted and wanted.casefold() not in head:
+                raise ValueError(f"{path}: there is no column {wanted}")
         rows = rows.filter(F.col("at") != first[0]["at"])
     account, raw = F.trim(F.get("c", where["id"])), F.trim(F.get("c", where["class"]))
     filled = F.exists("c", lambda x: F.coalesce(F.trim(x), F.lit("")) != "")

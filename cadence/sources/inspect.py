@@ -48,7 +48,7 @@ class FileProfile:
 
 def inspect_file(spark: SparkSession, path: str, *, kind: str = "posts", rows: int = SAMPLE_ROWS, config: MappingConfig = MappingConfig()) -> FileProfile:
     """A profile of the first rows of a file as posts or accounts."""
-    sample = raw.read_any(spark, path).orderBy("ordinal").limit(rows).cache()
+    sample = raw.read_any(spark, path).limit(rows).cache()
     aliases = config.post_aliases if kind == "posts" else config.account_aliases
     typed = (post_rows if kind == "posts" else account_rows)(sample, config)
     reasons = {r["reason"]: r["n"] for r in typed.groupBy(F.coalesce("reject_reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy("reason").collect()}

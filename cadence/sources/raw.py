@@ -44,9 +44,17 @@ def _problem(row: Column, before: Column) -> Column:
     return F.coalesce(before, F.when(F.size(filled) == 0, "empty_row").when(repeated, "repeated_header"))
 
 
+def broken_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell of a file goes on in another line: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_table(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """A CSV or TSV file with a header; all cells are texts, short rows are padded with NULL.
 
+    Files without line breaks in cells are split among tasks; others are read by one task each.
+
     One column more than the header has is read: a row that fills it, or that has just as many
     cells, is ragged.
     """
@@ -58,7 +66,7 @@ def read_table(spark: SparkSession, path: str, delimiter: str | None = None) ->
         "header": True,
         "quote": '"',
         "escape": '"',
-        "multiLine": True,
+        "multiLine": broken_cells(spark, path),
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": "short",
         "encoding": "UTF-8",

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.corpus import Corpus
+from cadence.corpus import ORDINAL, Corpus
 
 
 def write_corpus(corpus: Corpus, path: str) -> str:
@@ -24,11 +24,18 @@ def read_corpus(spark: SparkSession, path: str) -> Corpus:
     return Corpus(*(spark.read.parquet(f"{path}/{n}") for n in ("accounts", "posts", "labels")), told["source"], told["collected_at"], tuple(told["notes"]))
 
 
+#: Rows that one JSON object may hold, since the driver writes it.
+MOST_JSON_ROWS = 2_000_000
+
+
 def write_corpus_json(corpus: Corpus, path: str) -> str:
-    """A small corpus as one JSON object that ``NativeAdapter.load`` reads again."""
+    """A small corpus as one JSON object that ``NativeAdapter.load`` reads again; a large one raises."""
 
     def rows(df: DataFrame, order: list[str]) -> list[dict]:
-        texts = df.orderBy(*order).select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("j")).collect()
+        if df.limit(MOST_JSON_ROWS + 1).count() > MOST_JSON_ROWS:
+            raise ValueError(f"a JSON corpus holds {MOST_JSON_ROWS} rows of a kind at most; use write_corpus")
+        plain = df.drop(ORDINAL)
+        texts = plain.orderBy(*order).select(F.to_json(F.struct("*"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("j")).toLocalIterator()
         return [json.loads(r["j"]) for r in texts]
 
     body = {
