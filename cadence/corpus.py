@@ -86,8 +86,8 @@ class Corpus:
         return last_wins(numbered(self.accounts), ["account_id"])
 
     def posts_by_account(self) -> DataFrame:
-        """account_id and its posts in canonical order."""
-        rest = [c for c in self.posts.columns if c not in ("created_at", "post_id", "account_id")]
+        """account_id and its posts in canonical order; ``extra`` is a list of entries, since maps have no order."""
+        rest = [F.map_entries(c).alias(c) if c == "extra" else F.col(c) for c in self.posts.columns if c not in ("created_at", "post_id", "account_id")]
         return self.posts.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "post_id", *rest))).alias("posts"))
 
     def labels_by_account(self) -> DataFrame:
