@@ -99,6 +99,21 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Numbers that ``likely`` broadcasts at most.
+FILTER = 1 << 20
+
+
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose keys are not in ``wanted``, so that a join moves few of them.
+
+    Keys are hashed to FILTER numbers, and the ones that occur are broadcast: their number is bounded
+    whatever ``wanted`` holds.  The join is still needed.
+    """
+    (number,) = free_names(rows, "number")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(FILTER)).cast("int")
+    return rows.withColumn(number, bucket).join(F.broadcast(wanted.select(bucket.alias(number)).distinct()), number, "left_semi").drop(number)
+
+
 def crc32_of_id(column: str) -> "F.Column":
     """CRC-32 of an id written as text, for fold rules."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

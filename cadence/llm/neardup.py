@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm._shared import Scratch, free_names, partitions, small_batches, text_bytes
+from cadence.llm._shared import Scratch, free_names, likely, partitions, small_batches, text_bytes
 from cadence.llm.components import Forest, components
 from cadence.llm.minhash import band_keys, shingle_sets, signatures, sketches, word_hashes
 
@@ -264,7 +264,7 @@ def grouped(spark: SparkSession, docs: DataFrame, how: Similarity) -> DataFrame:
     found = members(scratch, reps.select(F.explode("bands").alias("key"), "node"))
     needed = ends.join(found.select("node").distinct(), "node", "left_semi")
     needed = scratch.write(needed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("node", *CLASS)).alias("nodes")), "needed")
-    sets = scratch.write(set_table(docs.join(needed, ["doc_id", "mark"]), how).dropDuplicates(["node"]), "sets")
+    sets = scratch.write(set_table(likely(docs, needed, ["doc_id", "mark"]).join(needed, ["doc_id", "mark"]), how).dropDuplicates(["node"]), "sets")
     pairs = found.filter("node <> hub").select("hub", "node").distinct()
     edges = scratch.write(confirmed(pairs, sets, how), "edges")
     labels = components(scratch, edges, "first")

@@ -26,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm._shared import Scratch, partitions, small_batches, text_bytes
+from cadence.llm._shared import Scratch, likely, partitions, small_batches, text_bytes
 from cadence.llm.minhash import _CODE, _powers, mixed
 
 LENGTH, GRAM = 50, 20
-#: Buckets of hashed ids in the filter that keeps texts without marks out of a shuffle.
-FILTER = 1 << 20
 #: Bytes of text and marked anchors for each bucket that a task gathers, and contexts refined at once.
 BUCKET_BYTES, BUCKET_MARKS, CONTEXTS = 16_000_000, 50_000, 20_000
 #: Bytes of the first buckets of suffixes.
@@ -308,13 +306,6 @@ def _covered(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return contexts.groupBy("bucket").applyInArrow(run, "doc_id long, start long, stop long")
 
 
-def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most of those whose id is not in ``ids``; at most FILTER numbers travel."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    wanted = ids.select(bucket.alias("_bucket")).distinct()
-    return docs.withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", "left_semi").drop("_bucket")
-
-
 def spans(spark: SparkSession, scratch: Scratch, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, cuts (array of start, stop): the covered bytes of documents (doc_id, text) that have any."""
     # Buckets grow in number with the input, so what a task gathers doesn't.
@@ -326,7 +317,7 @@ def spans(spark: SparkSession, scratch: Scratch, docs: DataFrame, length: int =
     scratch.drop("asked")
     known = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
     buckets = max(32, partitions(spark), -(-known // BUCKET_MARKS))
-    contexts = _contexts(_some(docs, marks).join(marks, "doc_id"), buckets, length, gram)
+    contexts = _contexts(likely(docs, marks, ["doc_id"]).join(marks, "doc_id"), buckets, length, gram)
     found = _covered(contexts, length, gram).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     found = scratch.write(found, "found")
     scratch.drop("marks")
@@ -378,7 +369,7 @@ def report(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH, gram:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     zero = F.lit(0).cast("long")
-    cut = _some(docs, found).join(found, "doc_id").mapInArrow(run, _REPORT)
+    cut = likely(docs, found, ["doc_id"]).join(found, "doc_id").mapInArrow(run, _REPORT)
     # Whole texts are summed up where they are read: only documents that lose bytes are shuffled.
     whole = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     untouched = whole.join(found.select("doc_id"), "doc_id", "left_anti")
