@@ -8,6 +8,7 @@ computed per byte.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadence.llm._shared import crc32_of_id, small_batches, text_bytes
+from cadence.llm._shared import Scratch, crc32_of_id, small_batches, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -138,34 +139,51 @@ def fit(windows: np.ndarray, target: np.ndarray, languages: list[str], *, epochs
     return LanguageModel(languages, theta[0], theta[1 : 1 + n], theta[1 + n : 1 + 2 * n], theta[-1])
 
 
-def fit_on(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> LanguageModel:
-    """Fit on a bounded sample outside the held-out fold (crc32(doc_id) mod 4 = 2).
+def windows_of(raw: bytes, most: int) -> list[bytes]:
+    """Up to ``most`` windows spread over a whole text, each filled up with zeros."""
+    starts = range(0, len(raw), WINDOW)
+    step = max(1, -(-len(starts) // most))
+    return [raw[a : a + WINDOW].ljust(WINDOW, b"\0") for a in starts[::step]]
 
-    Of each language, the ``sample_docs`` texts with the smallest hashed ids give up to
-    ``sample_windows`` windows each.  Rows with a null id, text or language, and empty texts, take
-    no part; without any row all texts are of unknown language.
-    """
+
+def sampled(docs: DataFrame, sample_docs: int, sample_windows: int) -> DataFrame:
+    """doc_id, lang and window of the sample of ``fit_on``."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter("doc_id is not null and lang is not null and length(text) > 0").filter(F.pmod(crc32_of_id("doc_id"), F.lit(4)) != 2)
     keyed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("at"))
     nth = Window.partitionBy("lang").orderBy("at", "doc_id")
     chosen = keyed.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= sample_docs).select("doc_id").collect()
     ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in chosen], "doc_id long").distinct()
-    reach = 4 * sample_windows * WINDOW
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - reach)) + 1
-    rows = known.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", F.expr("text").substr(at.cast("int"), F.lit(reach)).alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    languages = sorted({r["lang"] for r in rows})
-    windows, target = [], []
-    for r in rows:
-        raw = r["text"].encode()
-        starts = range(0, len(raw), WINDOW)
-        for a in starts[:: max(1, len(starts) // sample_windows)][:sample_windows]:
-            windows.append(np.frombuffer(raw[a : a + WINDOW].ljust(WINDOW, b"\0"), np.uint8))
-            target.append(languages.index(r["lang"]))
-    if not windows:
-        return fit(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [UNKNOWN])
-    return fit(np.array(windows), np.array(target), languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 8_000_000):
+            rows = [(doc, lang, w) for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in windows_of(text.encode(), sample_windows)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "lang", "window"])
+
+    return known.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, window binary")
+
+
+def fit_on(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> LanguageModel:
+    """Fit, in one task, on a bounded sample outside the held-out fold (crc32(doc_id) mod 4 = 2).
+
+    Of each language, the ``sample_docs`` texts with the smallest hashed ids give up to
+    ``sample_windows`` windows each, spread over the whole text.  Rows with a null id, text or
+    language, and empty texts, take no part; without any row all texts are of unknown language.
+    """
+    scratch = Scratch(docs.sparkSession, "language")
+    sample = scratch.write(sampled(docs, sample_docs, sample_windows), "sample")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        languages = sorted({lang for _, lang, _ in rows})
+        windows = np.frombuffer(b"".join(w for *_, w in rows), np.uint8).reshape(-1, WINDOW)
+        model = fit(windows, np.array([languages.index(lang) for _, lang, _ in rows], np.int64), languages or [UNKNOWN])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    scratch.drop("sample")
+    return pickle.loads(found[0]["model"]) if found else fit(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [UNKNOWN])
 
 
 def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:

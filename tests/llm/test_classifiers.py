@@ -23,6 +23,22 @@ def test_language_of_held_out_rows(spark):
     assert language.identified(spark, table.limit(0)).collect() == []
 
 
+def test_windows_come_from_the_whole_text():
+    text = bytes(range(256)) * 100
+    found = language.windows_of(text, 6)
+    assert len(found) == 6 and all(len(w) == language.WINDOW for w in found)
+    assert text.rindex(found[-1]) > len(text) / 2 and language.windows_of(b"ab", 6) == [b"ab".ljust(language.WINDOW, b"\0")]
+    assert language.windows_of(b"", 6) == []
+
+
+def test_language_of_repeated_rows_and_columns_of_any_name(spark):
+    rng = random.Random(1)
+    rows = [(k % 30, corpus.prose(rng, "de" if k % 2 else "en", 300), "de" if k % 2 else "en", k, k) for k in range(60)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long, lettered long")
+    got = language.identified(spark, table)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == 120
+
+
 def test_language_tables_equal_convolutions():
     rng = np.random.default_rng(0)
     windows = rng.integers(32, 120, (40, language.WINDOW)).astype(np.uint8)
