@@ -59,7 +59,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit_booster(x: np.ndarray, y: np.ndarray, *, iterations: int = 200, rate: float = 0.05, leaves: int = 31, least: int = 5, damping: float = 0.0) -> Booster:
     """Leaf-wise trees on the logistic loss; NaN goes where it helps more."""
-    edges = [np.unique(np.quantile(c[~np.isnan(c)], np.linspace(0, 1, 64)[1:-1], method="lower")) if (~np.isnan(c)).any() else np.zeros(0) for c in x.T]
+    edges = [_edges(c[~np.isnan(c)]) for c in x.T]
     binned = np.full(x.shape, MISSING_BIN, np.uint8)
     for j, cuts in enumerate(edges):
         known = ~np.isnan(x[:, j])
@@ -75,6 +75,14 @@ def fit_booster(x: np.ndarray, y: np.ndarray, *, iterations: int = 200, rate: fl
     return Booster(trees, base, rate)
 
 
+def _edges(known: np.ndarray) -> np.ndarray:
+    """Bounds of the bins: between all values if they are few, else quantiles."""
+    values = np.unique(known)
+    if len(values) < MISSING_BIN:
+        return (values[:-1] + values[1:]) / 2
+    return np.unique(np.quantile(known, np.linspace(0, 1, MISSING_BIN)[1:-1], method="lower"))
+
+
 def _grow(binned: np.ndarray, edges: list[np.ndarray], gradient: np.ndarray, curvature: np.ndarray, leaves: int, least: int, damping: float) -> tuple[Tree, np.ndarray]:
     tree = Tree()
     reached = np.zeros(len(gradient), np.int64)
