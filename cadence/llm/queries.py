@@ -82,6 +82,52 @@ WITH valid AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+#: Every string of 50 bytes, as hexadecimal digits, and the smallest document it starts in.
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM n WHERE n >= 50)),
+o AS (SELECT s, min(doc_id) AS owner FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT s.doc_id, i FROM s JOIN o USING (s) WHERE owner < s.doc_id),
+e AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS opens FROM c),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e) GROUP BY 1, 2),
+k AS (SELECT doc_id, b AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), n) AS b FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, -1, 0 FROM n) JOIN n USING (doc_id)),
+w AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM k JOIN n USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM n JOIN w USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY 1) USING (doc_id)
+"""
+
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP4_WORDS = "regexp_extract_all(" + _ASCII_LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4_SQL = f"""
+WITH i AS (SELECT item_id::VARCHAR AS item, {_OP4_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT item, array_to_string(w[p + 1 : p + 8], ' ') AS g, least(8, len(w)) AS size FROM (SELECT item, w, unnest(range(greatest(1, len(w) - 7))) AS p FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_OP4_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM g),
+x AS (SELECT doc_id, size, p, array_to_string(w[p + 1 : p + size], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS p FROM d, sizes WHERE len(w) >= size)),
+m AS (SELECT doc_id, p, size, item FROM x JOIN g USING (g, size)),
+h AS (SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM (SELECT doc_id, p, unnest(range(size)) AS o FROM m) GROUP BY 1),
+n AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 2), lambda p: w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3])) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) LEFT JOIN n USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": OP3_SQL,
+    "op4_decontamination": OP4_SQL,
+    "op7_minhash_neardup": OP7_SQL,
     "op9_top_k_search": OP9_SQL,
 }
