@@ -1,9 +1,13 @@
 """The pipeline's stages in order, on planted tables."""
 
+import hashlib
+
 import corpus_pipeline
-from cadence.llm import decontamination, neardup, toxicity
+from cadence.llm import decontamination, lines, neardup, toxicity
 from tests.llm import corpus
+from tests.llm.test_lines import every_passage
 from tests.llm.test_neardup import brute
+from tests.llm.test_packing import ids_of
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
@@ -29,6 +33,11 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
         if name == "toxicity":
             scored = toxicity.classified(spark, before, spark.read.parquet(str(tmp_path / "labels.parquet")))
             assert kept == {r["doc_id"] for r in scored.filter("predicted = 0").collect()}
+        if name == "line_dedup":
+            texts = {r["doc_id"]: r["text"] or "" for r in after.collect()}
+            want = every_passage(sorted((r["doc_id"], r["text"]) for r in before.collect()), lines.Passages())
+            for doc, (_, removed, digest) in want.items():
+                assert digest == hashlib.sha256(texts.get(doc, "").encode()).hexdigest() and (doc in texts or removed), doc
         if name == "near_dedup":
             want = brute([tuple(r) for r in before.collect()], neardup.Similarity())
             assert kept == {k for k, v in want.items() if v[2]}
@@ -36,4 +45,5 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
             assert decontamination.report(spark, after, spark.read.parquet(str(tmp_path / "benchmark.parquet"))).filter("n_hit > 0").count() == 0
         before = after
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in before.collect()}
+    want = {r["doc_id"]: len(ids_of(r["text"])) for r in before.collect()}
+    assert {k: sum(r["length"] for r in packed if r["doc_id"] == k) for k in want} == want and {r["doc_id"] for r in packed} == set(want)
