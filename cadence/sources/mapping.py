@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadence.corpus import ACCOUNTS, KINDS, LABEL_ROWS, LABELS, PLATFORMS, POSTS
 from cadence.functions.scalar import as_boolean, as_integer, as_list, blank_to_null, corrupted_identifier, normalised_handle
-from cadence.functions.timestamps import parsed_struct
+from cadence.functions.timestamps import let, parsed_struct
 
 #: Column names in use and the fields they mean (fixed values).
 POST_ALIASES: dict[str, tuple[str, ...]] = {
@@ -60,26 +60,25 @@ class MappingConfig:
 class Row:
     """The fields of raw rows as columns, by their own names or aliases; an own name wins unless blank.
 
-    Each field is taken out of the row once, so what is computed from it stays a small expression.
+    The ``judged`` fields, which tell whether a row is refused, are taken out of the row once, so what
+    is computed from them stays a small expression; others are taken where they are asked for.
     """
 
-    def __init__(self, raw: DataFrame, aliases: Mapping[str, tuple[str, ...]], known: list[str]) -> None:
-        entries = F.transform(F.map_entries("row"), lambda e: F.struct(F.trim(e["key"]).alias("key"), e["value"].alias("value")))
-        listed = raw.withColumn("_entries", entries)
-        fields = []
-        for name in known:
-            own = _named("_entries", [name], exact=True)
-            other = _named("_entries", list(aliases.get(name, ())), exact=False)
-            fields.append(F.coalesce(blank_to_null(own["value"]), blank_to_null(other["value"])).alias(f"_{name}"))
-            fields.append((own.isNotNull() | other.isNotNull()).alias(f"_has_{name}"))
-        self.table = listed.select(*raw.columns, "_entries", *fields)
+    def __init__(self, raw: DataFrame, aliases: Mapping[str, tuple[str, ...]], judged: list[str]) -> None:
+        entries = F.transform(F.map_entries("row"), lambda e: F.struct(F.trim(e["key"]).alias("key"), F.lower(F.trim(e["key"])).alias("low"), e["value"].alias("value")))
+
+        def taken(e: Column) -> Column:
+            return F.struct(e.alias("_entries"), *(_field(e, name, aliases).alias(f"_{name}") for name in judged))
+
+        self.aliases, self.judged = aliases, judged
+        self.table = once(raw, let(entries, taken))
         self.taken = [a for names in aliases.values() for a in names]
 
     def __getitem__(self, name: str) -> Column:
-        return F.col(f"_{name}")
+        return F.col(f"_{name}.value") if name in self.judged else let(F.col("_entries"), lambda e: _field(e, name, self.aliases))["value"]
 
     def has(self, name: str) -> Column:
-        return F.col(f"_has_{name}")
+        return F.col(f"_{name}.has")
 
     def instant(self, name: str, config: MappingConfig) -> tuple[Column, Column]:
         """The instant that a field holds, and why it holds none."""
@@ -88,16 +87,38 @@ class Row:
 
     def extra(self, known: list[str]) -> Column:
         """What is left: columns of other names, and the members of an ``extra`` object."""
-        rest = F.filter("_entries", lambda e: ~e["key"].isin(*known, "extra") & ~F.lower(e["key"]).isin(*self.taken) & blank_to_null(e["value"]).isNotNull())
+        rest = F.filter("_entries", lambda e: ~e["key"].isin(*known, "extra") & ~e["low"].isin(*self.taken) & blank_to_null(e["value"]).isNotNull())
         given = F.from_json(self["extra"], "map<string,string>")
-        rest = F.map_from_entries(rest)
+        rest = F.map_from_entries(F.transform(rest, lambda e: F.struct(e["key"], e["value"])))
         return F.when(given.isNull(), rest).otherwise(F.map_concat(F.map_filter(given, lambda k, v: ~F.array_contains(F.map_keys(rest), k)), rest))
 
 
-def _named(entries: str, names: list[str], exact: bool) -> Column:
-    """The first entry of one of these names."""
-    found = F.filter(entries, lambda e: (e["key"] if exact else F.lower(e["key"])).isin(*names)) if names else F.slice(entries, 1, 0)
-    return F.get(found, 0)
+def once(table: DataFrame, row: Column) -> DataFrame:
+    """``table`` with the members of a struct as columns, each computed once.
+
+    A filter on a column of a plain select is moved below it with a copy of the column's expression
+    for each mention; it can't be moved below a generator.
+    """
+    return table.select("*", F.inline(F.array(row)))
+
+
+def _field(e: Column, name: str, aliases: Mapping[str, tuple[str, ...]]) -> Column:
+    """The value under the own name, unless blank, else under the first alias, and whether there is such a column."""
+    own, other = _place(e["key"], [name]), _place(e["low"], list(aliases.get(name, ())))
+    if other is None:
+        return let(own, lambda p: F.struct(blank_to_null(F.get(e["value"], p)).alias("value"), p.isNotNull().alias("has")))
+
+    def told(p: Column) -> Column:
+        value = F.coalesce(*(blank_to_null(F.get(e["value"], p[k])) for k in ("own", "other")))
+        return F.struct(value.alias("value"), (p["own"].isNotNull() | p["other"].isNotNull()).alias("has"))
+
+    return let(F.struct(own.alias("own"), other.alias("other")), told)
+
+
+def _place(names: Column, wanted: list[str]) -> Column | None:
+    """The place of the first of these names, from 0; NULL if none is there."""
+    places = [F.nullif(F.array_position(names, n), F.lit(0).cast("long")) for n in wanted]
+    return None if not places else (places[0] if len(places) == 1 else F.least(*places)).cast("int") - 1
 
 
 def _required(row: Row, name: str) -> Column:
@@ -118,7 +139,7 @@ def _names(schema: str) -> list[str]:
 
 
 def _typed(raw: DataFrame, values: dict[str, Column], reason: Column) -> DataFrame:
-    rows = raw.withColumn("_reason", F.coalesce("problem", reason))
+    rows = once(raw, F.struct(F.coalesce("problem", reason).alias("_reason")))
     return rows.select("ordinal", *(v.alias(k) for k, v in values.items()), F.col("_reason").alias("reject_reason"))
 
 
@@ -127,7 +148,7 @@ def post_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
     source = F.col("row") if config.post_row_transform is None else config.post_row_transform(F.col("row"))
     raw = raw.withColumn("row", source)
     known = _names(POSTS)
-    row = Row(raw, config.post_aliases, known)
+    row = Row(raw, config.post_aliases, ["post_id", "account_id", "created_at", "collected_at", "kind", "media_count", "like_count", "repost_count", "reply_count"])
     created, bad_created = row.instant("created_at", config)
     collected, bad_collected = row.instant("collected_at", config)
     kind = F.coalesce(F.lower(row["kind"]), F.lit("original"))
@@ -159,7 +180,7 @@ def post_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
 def account_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
     """Typed accounts with reject_reason."""
     known = _names(ACCOUNTS)
-    row = Row(raw, config.account_aliases, known)
+    row = Row(raw, config.account_aliases, ["account_id", "created_at", "collected_at", "followers_count", "following_count", "post_count"])
     created, bad_created = row.instant("created_at", config)
     collected, bad_collected = row.instant("collected_at", config)
     counts = {n: as_integer(row[n]) for n in ("followers_count", "following_count", "post_count")}
@@ -186,7 +207,7 @@ def account_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
 def label_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
     """Typed labels with reject_reason; columns that are no field are refused."""
     known = _names(LABEL_ROWS)
-    row = Row(raw, {}, known)
+    row = Row(raw, {}, ["account_id", "label", "dataset", "confidence", "labelled_at"])
     labelled, bad = row.instant("labelled_at", config)
     label, method = F.lower(row["label"]), F.coalesce(F.lower(row["method"]), F.lit("unknown"))
     confidence = row["confidence"].try_cast("double")

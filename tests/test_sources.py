@@ -118,3 +118,15 @@ def test_registry():
     assert registry.detect("p.parquet") is None and registry.names == ("io-archive", "native")
     with pytest.raises(ValueError):
         registry.register(adapters.NativeAdapter())
+
+
+def test_a_filter_on_the_reason_does_not_copy_the_fields(spark, tmp_path):
+    """Each mention of a field in a filter that was moved down read the whole row again."""
+    from cadence.plans import ingest_queries
+
+    spark.range(46).selectExpr("id AS event_id", "id % 5 AS user_id", "'view' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    for query in (ingest_queries.ingest_posts, ingest_queries.ingest_post_rejects):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("map_entries(") == 1
+    reasons = {r["reason"]: r["n"] for r in ingest_queries.ingest_post_rejects(spark, str(tmp_path)).collect()}
+    assert reasons["post:ValueError"] == 4 and sum(reasons.values()) == 16
