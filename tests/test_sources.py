@@ -130,3 +130,11 @@ def test_a_filter_on_the_reason_does_not_copy_the_fields(spark, tmp_path):
         assert plan.count("map_entries(") == 1
     reasons = {r["reason"]: r["n"] for r in ingest_queries.ingest_post_rejects(spark, str(tmp_path)).collect()}
     assert reasons["post:ValueError"] == 4 and sum(reasons.values()) == 16
+
+
+def test_a_report_counts_every_table_and_the_orphans(spark):
+    rows = spark.createDataFrame([("1", "a", "2024-01-01T00:00:00Z"), ("2", "b", "2024-01-01T00:00:00Z"), ("3", "b", "2024-01-01T00:00:00Z"), ("4", "a", "never")], "id string, author string, created string")
+    accounts = spark.createDataFrame([("a", "x"), ("c", "y"), ("a", "z")], "id string, handle string")
+    told = adapters.NativeAdapter().from_records(spark, "t", raw.from_dataframe(rows), raw.from_dataframe(accounts)).report()
+    assert (told.n_posts, told.n_accounts, told.n_skipped) == (3, 3, 1)
+    assert told.warnings[0].startswith("2 post(s)")
