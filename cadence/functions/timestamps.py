@@ -54,8 +54,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _parts(body: Column, pattern: str, groups: int) -> Column:
-    """The groups of a pattern as an array; groups that didn't match are empty texts."""
-    return F.array(*(F.regexp_extract(body, pattern, k) for k in range(1, groups + 1)))
+    """The groups of a pattern, which have no semicolon, as an array; groups that didn't match are empty texts.
+
+    A body that matches is matched once more for all groups together, with what may follow its end.
+    """
+    return F.split(F.regexp_replace(body, rf"{pattern}[\s\S]*", ";".join(f"${k}" for k in range(1, groups + 1))), ";")
 
 
 def _filled(parts: Column, k: int) -> Column:
@@ -130,13 +133,14 @@ def parsed_struct(text: Column, assume_offset_hours: float | None = None, date_o
             _iso_of(body).alias("iso"),
             _wordy_of(body).alias("wordy"),
             _slash_of(body, date_order).alias("slash"),
-            _year_first_of(body).alias("year_first"),
         )
 
         def settle(k: Column) -> Column:
-            wall = F.coalesce(k["iso"]["wall"], k["slash"]["wall"], k["year_first"])
-            micros = F.coalesce(k["epoch"], k["wordy"], wall - F.coalesce(k["iso"]["zone"], assumed))
-            return F.struct(micros.alias("micros"), wall.isNotNull().alias("naive"), F.coalesce(k["slash"]["unclear"], F.lit(False)).alias("unclear"))
+            def judged(wall: Column) -> Column:
+                micros = F.coalesce(k["epoch"], k["wordy"], wall - F.coalesce(k["iso"]["zone"], assumed))
+                return F.struct(micros.alias("micros"), wall.isNotNull().alias("naive"), F.coalesce(k["slash"]["unclear"], F.lit(False)).alias("unclear"))
+
+            return let(F.coalesce(k["iso"]["wall"], k["slash"]["wall"], _year_first_of(body)), judged)
 
         def told(m: Column) -> Column:
             reason = F.when(F.coalesce(body, F.lit("")) == "", None).when(m["micros"].isNotNull(), None).when(m["unclear"], AMBIGUOUS).when(m["naive"], NAIVE).otherwise(BAD)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cadence.corpus import ACCOUNTS, KINDS, LABEL_ROWS, LABELS, PLATFORMS, POSTS
 from cadence.functions.scalar import as_boolean, as_integer, as_list, blank_to_null, corrupted_identifier, normalised_handle
 from cadence.functions.timestamps import let, parsed_struct
+from cadence.sources.raw import names_of
 
 #: Column names in use and the fields they mean (fixed values).
 POST_ALIASES: dict[str, tuple[str, ...]] = {
@@ -50,6 +51,8 @@ class MappingConfig:
     account_aliases: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: ACCOUNT_ALIASES)
     list_separator: str = "|"
     post_row_transform: Callable[[Column], Column] | None = None
+    #: The names that the transform sets in every row, if it leaves all others as they are.
+    post_row_sets: tuple[str, ...] = ()
     strict: bool = False
 
     def __post_init__(self) -> None:
@@ -61,21 +64,34 @@ class Row:
     """The fields of raw rows as columns, by their own names or aliases; an own name wins unless blank.
 
     The ``judged`` fields, which tell whether a row is refused, are taken out of the row once, so what
-    is computed from them stays a small expression; others are taken where they are asked for.
+    is computed from them stays a small expression; others are taken where they are asked for.  Where
+    all rows have the same ``names``, fields are looked up by these and no row's names are searched.
     """
 
-    def __init__(self, raw: DataFrame, aliases: Mapping[str, tuple[str, ...]], judged: list[str]) -> None:
+    def __init__(self, raw: DataFrame, aliases: Mapping[str, tuple[str, ...]], judged: list[str], names: list[str] | None = None) -> None:
+        self.aliases, self.judged, self.names = aliases, judged, names
+        self.taken = [a for listed in aliases.values() for a in listed]
+        if names is not None:
+            self.table = once(raw, F.struct(*(self._told(name).alias(f"_{name}") for name in judged)))
+            return
         entries = F.transform(F.map_entries("row"), lambda e: F.struct(F.trim(e["key"]).alias("key"), F.lower(F.trim(e["key"])).alias("low"), e["value"].alias("value")))
 
         def taken(e: Column) -> Column:
             return F.struct(e.alias("_entries"), *(_field(e, name, aliases).alias(f"_{name}") for name in judged))
 
-        self.aliases, self.judged = aliases, judged
         self.table = once(raw, let(entries, taken))
-        self.taken = [a for names in aliases.values() for a in names]
+
+    def _told(self, name: str) -> Column:
+        """``_field`` of a row whose names are known."""
+        own = next((n for n in self.names if n.strip(" ") == name), None)
+        other = next((n for n in self.names if n.strip(" ").lower() in self.aliases.get(name, ())), None)
+        cells = [blank_to_null(F.element_at("row", F.lit(n))) for n in (own, other) if n is not None]
+        return F.struct(F.coalesce(*cells, F.lit(None).cast("string")).alias("value"), F.lit(bool(cells)).alias("has"))
 
     def __getitem__(self, name: str) -> Column:
-        return F.col(f"_{name}.value") if name in self.judged else let(F.col("_entries"), lambda e: _field(e, name, self.aliases))["value"]
+        if name in self.judged:
+            return F.col(f"_{name}.value")
+        return self._told(name)["value"] if self.names is not None else let(F.col("_entries"), lambda e: _field(e, name, self.aliases))["value"]
 
     def has(self, name: str) -> Column:
         return F.col(f"_{name}.has")
@@ -85,9 +101,17 @@ class Row:
         self.table = self.table.withColumn(f"_at_{name}", parsed_struct(self[name], config.assume_offset_hours, config.date_order))
         return F.col(f"_at_{name}.at"), F.col(f"_at_{name}.reason")
 
+    def others(self, known: list[str]) -> Column:
+        """The entries (key, low, value) of other names than these."""
+        if self.names is None:
+            return F.filter("_entries", lambda e: ~e["key"].isin(*known))
+        rest = [n for n in self.names if n.strip(" ") not in known]
+        entries = (F.struct(F.lit(n.strip(" ")).alias("key"), F.lit(n.strip(" ").lower()).alias("low"), F.element_at("row", F.lit(n)).alias("value")) for n in rest)
+        return F.array(*entries) if rest else F.array().cast("array<struct<key:string,low:string,value:string>>")
+
     def extra(self, known: list[str]) -> Column:
         """What is left: columns of other names, and the members of an ``extra`` object."""
-        rest = F.filter("_entries", lambda e: ~e["key"].isin(*known, "extra") & ~e["low"].isin(*self.taken) & blank_to_null(e["value"]).isNotNull())
+        rest = F.filter(self.others([*known, "extra"]), lambda e: ~e["low"].isin(*self.taken) & blank_to_null(e["value"]).isNotNull())
         given = F.from_json(self["extra"], "map<string,string>")
         rest = F.map_from_entries(F.transform(rest, lambda e: F.struct(e["key"], e["value"])))
         return F.when(given.isNull(), rest).otherwise(F.map_concat(F.map_filter(given, lambda k, v: ~F.array_contains(F.map_keys(rest), k)), rest))
@@ -145,10 +169,12 @@ def _typed(raw: DataFrame, values: dict[str, Column], reason: Column) -> DataFra
 
 def post_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
     """Typed posts with reject_reason; rows that have one are not to be used."""
-    source = F.col("row") if config.post_row_transform is None else config.post_row_transform(F.col("row"))
-    raw = raw.withColumn("row", source)
+    names = names_of(raw)
+    if config.post_row_transform is not None:
+        raw = raw.withColumn("row", config.post_row_transform(F.col("row")))
+        names = [*(n for n in names if n not in config.post_row_sets), *config.post_row_sets] if names is not None and config.post_row_sets else None
     known = _names(POSTS)
-    row = Row(raw, config.post_aliases, ["post_id", "account_id", "created_at", "collected_at", "kind", "media_count", "like_count", "repost_count", "reply_count"])
+    row = Row(raw, config.post_aliases, ["post_id", "account_id", "created_at", "collected_at", "kind", "media_count", "like_count", "repost_count", "reply_count"], names)
     created, bad_created = row.instant("created_at", config)
     collected, bad_collected = row.instant("collected_at", config)
     kind = F.coalesce(F.lower(row["kind"]), F.lit("original"))
@@ -180,7 +206,7 @@ def post_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
 def account_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
     """Typed accounts with reject_reason."""
     known = _names(ACCOUNTS)
-    row = Row(raw, config.account_aliases, ["account_id", "created_at", "collected_at", "followers_count", "following_count", "post_count"])
+    row = Row(raw, config.account_aliases, ["account_id", "created_at", "collected_at", "followers_count", "following_count", "post_count"], names_of(raw))
     created, bad_created = row.instant("created_at", config)
     collected, bad_collected = row.instant("collected_at", config)
     counts = {n: as_integer(row[n]) for n in ("followers_count", "following_count", "post_count")}
@@ -207,11 +233,11 @@ def account_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
 def label_rows(raw: DataFrame, config: MappingConfig) -> DataFrame:
     """Typed labels with reject_reason; columns that are no field are refused."""
     known = _names(LABEL_ROWS)
-    row = Row(raw, {}, ["account_id", "label", "dataset", "confidence", "labelled_at"])
+    row = Row(raw, {}, ["account_id", "label", "dataset", "confidence", "labelled_at"], names_of(raw))
     labelled, bad = row.instant("labelled_at", config)
     label, method = F.lower(row["label"]), F.coalesce(F.lower(row["method"]), F.lit("unknown"))
     confidence = row["confidence"].try_cast("double")
-    other = F.get(F.filter("_entries", lambda e: ~e["key"].isin(*known)), 0)["key"]
+    other = F.get(row.others(known), 0)["key"]
     values = {n: row[n] for n in known} | {"platform": _platform(row, config.platform), "label": label, "method": method, "confidence": confidence, "labelled_at": labelled}
     reason = _first(
         bad,

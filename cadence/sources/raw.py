@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import csv
 import io
+from functools import reduce
+from operator import and_
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ from pyspark.sql import types as T
 
 JSON, JSONL, TABLES = (".json",), (".jsonl", ".ndjson"), (".csv", ".tsv")
 ROWS = "array<map<string,string>>"
+#: Where the column ``row`` says which names all of its rows have.
+NAMES = "names"
 
 
 def suffix(path: str) -> str:
@@ -44,6 +48,16 @@ def _problem(row: Column, before: Column) -> Column:
     return F.coalesce(before, F.when(F.size(filled) == 0, "empty_row").when(repeated, "repeated_header"))
 
 
+def named(row: Column, names: list[str]) -> Column:
+    """The column ``row``, whose rows all have just these names."""
+    return row.alias("row", metadata={NAMES: names})
+
+
+def names_of(rows: DataFrame) -> list[str] | None:
+    """The names that all rows have, if the table tells."""
+    return rows.schema["row"].metadata.get(NAMES)
+
+
 def broken_cells(spark: SparkSession, path: str) -> bool:
     """Whether a quoted cell of a file goes on in another line: some line has an odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -77,8 +91,11 @@ def read_table(spark: SparkSession, path: str, delimiter: str | None = None) ->
     pairs = {n: c for n, c in zip(names, columns, strict=True)}
     row = F.create_map(*(x for n, c in pairs.items() for x in (F.lit(n), F.col(c)))) if pairs else F.create_map().cast("map<string,string>")
     ragged = F.when(F.col("over").isNotNull() | F.col("short").isNull(), "ragged_row")
-    found = rows.select(F.monotonically_increasing_id().alias("ordinal"), row.alias("row"), ragged.alias("before"))
-    return found.select("ordinal", "row", _problem(F.col("row"), F.col("before")).alias("problem"))
+    cells = {n: F.coalesce(F.trim(c), F.lit("")) for n, c in pairs.items()}
+    empty = reduce(and_, (c == "" for c in cells.values()), F.lit(True))
+    repeated = reduce(and_, ((c == "") | (c == n.strip(" ")) for n, c in cells.items()), F.lit(True))
+    problem = F.coalesce(ragged, F.when(empty, "empty_row").when(repeated, "repeated_header"))
+    return rows.select(F.monotonically_increasing_id().alias("ordinal"), named(row, list(pairs)), problem.alias("problem"))
 
 
 def read_json_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -138,3 +138,38 @@ def test_a_report_counts_every_table_and_the_orphans(spark):
     told = adapters.NativeAdapter().from_records(spark, "t", raw.from_dataframe(rows), raw.from_dataframe(accounts)).report()
     assert (told.n_posts, told.n_accounts, told.n_skipped) == (3, 3, 1)
     assert told.warnings[0].startswith("2 post(s)")
+
+
+def test_names_that_all_rows_have_are_resolved_before_any_row(spark, tmp_path):
+    """A row's names are not searched, and the typed rows are those of a search."""
+    from pyspark.sql import functions as F
+
+    from cadence.sources.mapping import account_rows, label_rows, post_rows
+
+    head = ' id ,Author,tweetid,userid,user_id,created_at,time,label,dataset,confidence,mood,extra,likes,kind,Is_Retweet,bio,followers\n'
+    lines = [
+        '1,a,9,b,c,,2024-03-01T12:00:00Z,organic,d,0.5,glad,"{""mood"":""x"",""k"":""v""}",3,,TRUE,me,4',
+        ',,9,b,c,2024-3-1 4:05,,robot,d,1.5, ,,-1,reply,,,-2',
+        '2,a,,,,03/04/2024 10:00,x,organic,,,sad,no,x,other,,,y',
+        ',,,,,,,,,,,,,,,,',
+        '4,a,,,,2024-13-45 10:00,,organic,d,,,,,,,,',
+    ]
+    found = raw.read_table(spark, put(tmp_path, "odd.csv", head + "\n".join(lines) + "\n"))
+    plain = found.select("ordinal", F.col("row").alias("row", metadata={}), "problem")
+    assert raw.names_of(found) and raw.names_of(plain) is None
+    for config in (MappingConfig("twitter", 0.0, "dmy"), MappingConfig("twitter", 0.0, "dmy", post_row_transform=adapters.archive_role, post_row_sets=("kind",))):
+        for rows in (post_rows, account_rows, label_rows):
+            fixed, searched = rows(found, config), rows(plain, config)
+            assert fixed.schema.simpleString() == searched.schema.simpleString()
+            assert fixed.orderBy("ordinal").collect() == searched.orderBy("ordinal").collect()
+            assert "map_entries" not in fixed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_timestamp_before_a_line_break_keeps_its_zone(spark):
+    from pyspark.sql import functions as F
+
+    from cadence.functions.timestamps import parsed
+
+    texts = ["2024-03-01T12:00:00Z\n", "2024-03-01T14:00:00+02:00", "20240301T120000Z", "2024/3/1 12:00:00", "1/3/2024 12:00", "Fri Mar 01 12:00:00 +0000 2024", "2024-03-01 12:00", "2024-3-1 12:00"]
+    at, _ = parsed(F.col("t"), 0, "dmy")
+    assert {r["m"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_micros(at).alias("m")).collect()} == {1709294400000000}
