@@ -93,6 +93,13 @@ def events(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_edges_and_examples_come_without_a_join(spark, tmp_path):
+    """Keys of bands that met in a join filled the driver when one side was broadcast."""
+    at = events(spark, tmp_path)
+    for query in (graph_queries.fingerprint_edges, graph_queries.fingerprint_examples):
+        assert "Join" not in query(spark, at)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_the_null_summary_makes_no_communities(spark, tmp_path, monkeypatch):
     def none(*_):
         raise AssertionError("the summary has no communities")
